@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftlens.functions.vectors import let
+
 
 def _as_column(part) -> Column:
     return part if isinstance(part, Column) else F.lit(str(part))
@@ -15,11 +17,19 @@ def hash_hex(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[_as_column(p).cast("string") for p in parts]))
 
 
-def hash_below(p: float, *parts) -> Column:
-    """True with probability p, decided by the first 32 hash bits."""
-    if p >= 1:
-        return F.lit(True)
-    return F.substring(hash_hex(*parts), 1, 8) < F.lit(format(int(p * 2**32), "08x"))
+def draws(n: Column, *parts) -> Column:
+    """n draws as eight hex digits each; one md5 gives four of them."""
+
+    def four(k: Column) -> Column:
+        return let(hash_hex(*parts, k), lambda h: F.array(*[F.substring(h, at, 8) for at in (1, 9, 17, 25)]))
+
+    quads = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), four)
+    return F.slice(F.flatten(quads), F.lit(1), n)
+
+
+def threshold(p: float) -> Column:
+    """A draw below this has probability p ('g' lies above every hex digit)."""
+    return F.lit("g" if p >= 1 else format(int(p * 2**32), "08x"))
 
 
 def hash_key(*parts) -> Column:

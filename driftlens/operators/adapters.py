@@ -14,6 +14,7 @@ from driftlens.operators.ordering import running_total
 from driftlens.session import broadcast_if_small
 
 NO_ANSWER = "None"
+ORDER_COLUMNS = ("row_id", "split", "part", "order_key")
 
 
 def joined(first: str, second: str) -> Column:
@@ -30,7 +31,7 @@ def to_classification(df: DataFrame, first: str, second: str | None = None, labe
     """{text, labels}: one field or two joined by a space; label 0 when the column is absent."""
     text = F.col(first) if second is None else joined(first, second)
     labels = F.col(label).cast("int") if label in df.columns else F.lit(0)
-    keys = [c for c in ("row_id", "split", "part") if c in df.columns]
+    keys = [c for c in ORDER_COLUMNS if c in df.columns]
     return df.select(*keys, text.alias("text"), labels.alias("labels"))
 
 
@@ -38,7 +39,7 @@ def to_generation(df: DataFrame, source: str | Column, target: str | Column) ->
     """{source, target} from two columns or expressions."""
     source = F.col(source) if isinstance(source, str) else source
     target = F.col(target) if isinstance(target, str) else target
-    keys = [c for c in ("row_id", "split", "part") if c in df.columns]
+    keys = [c for c in ORDER_COLUMNS if c in df.columns]
     return df.select(*keys, source.alias("source"), target.alias("target"))
 
 
@@ -48,7 +49,7 @@ def concat_fields(df: DataFrame, first: str, second: str, out: str = "text") ->
 
 def rename_fields(df: DataFrame, **names: str) -> DataFrame:
     """Keep the keys and the named fields: rename_fields(df, text="TWEET", label="LABEL")."""
-    keys = [c for c in ("row_id", "split") if c in df.columns]
+    keys = [c for c in ORDER_COLUMNS if c in df.columns]
     return df.select(*keys, *[F.col(old).alias(new) for new, old in names.items()])
 
 
@@ -104,7 +105,7 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(label, code): distinct labels in descending order, numbered from 0."""
     distinct = df.select(F.col(column).alias("label")).where(F.col(column).isNotNull()).distinct()
     # Code point of the first character, negated: an ascending bucket for a descending order.
-    coded = distinct.withColumn("_b", -F.ord("label")).withColumn("_one", F.lit(1))
+    coded = distinct.withColumn("_b", -F.ascii("label")).withColumn("_one", F.lit(1))
     numbered = running_total(coded, [], "_b", [F.desc("label")], "_one", "code")
     return numbered.select("label", F.col("code").cast("int").alias("code"))
 

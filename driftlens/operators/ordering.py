@@ -165,11 +165,13 @@ def split_by_hash(
     by: Sequence[str] = (),
     seed: int = 42,
     row_id: str = "row_id",
+    order_key: bool = False,
 ) -> DataFrame:
     """Label every row with the part of the seeded shuffle it falls in, per ``by`` group, exact sizes.
 
     ``cut_ranks(n)`` gives the ranks (as columns over the group size) where a new part begins. Sizes
     come from counts per hash bucket; only rows of the buckets with a cut in them are ranked.
+    ``order_key`` keeps the shuffle position of the rows as a column.
     """
     keyed = df.withColumn("_h", hash_key(seed, F.col(row_id)))
     keyed = keyed.withColumn("_b", F.shiftright("_h", HASH_SHIFT))
@@ -219,7 +221,10 @@ def split_by_hash(
     label = F.lit(names[-1])
     for name, bound in reversed(list(zip(names, bounds))):
         label = F.when(bound.isNull() | (here < bound), F.lit(name)).otherwise(label)
-    return keyed.select(*[c for c in df.columns if c != "split"], label.alias("split"))
+    kept = [F.col(c) for c in df.columns if c != "split"]
+    if order_key:
+        kept.append(F.col("_h").alias("order_key"))
+    return keyed.select(*kept, label.alias("split"))
 
 
 def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:

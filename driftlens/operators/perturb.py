@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.functions.hashing import hash_below
+from driftlens.functions.hashing import draws, threshold
 from driftlens.functions.text import words
 from driftlens.operators.adapters import add_instruction
 
 
 def upper_words(text: Column, row_id: Column, p: float = 0.1, seed: int = 42) -> Column:
     """Upper-case each word with probability p; white space collapses to single spaces."""
+    tokens = words(text)
+    dice = draws(F.size(tokens), f"{seed}w", row_id)
     return F.array_join(
-        F.transform(
-            words(text),
-            lambda w, i: F.when(hash_below(p, f"{seed}w", row_id, i), F.upper(w)).otherwise(w),
-        ),
-        " ",
+        F.zip_with(tokens, dice, lambda w, d: F.when(d < threshold(p), F.upper(w)).otherwise(w)), " "
     )
 
 
 def delete_chars(text: Column, row_id: Column, p: float = 0.1, seed: int = 42) -> Column:
     """Drop each character with probability p."""
-    return F.array_join(
-        F.filter(F.split(text, ""), lambda c, i: ~hash_below(p, f"{seed}c", row_id, i)), ""
-    )
+    chars = F.split(text, "")
+    dice = draws(F.size(chars), f"{seed}c", row_id)
+    # array_join leaves out the NULLs of dropped characters.
+    return F.array_join(F.zip_with(chars, dice, lambda c, d: F.when(d >= threshold(p), c)), "")
 
 
 def perturb(

@@ -57,11 +57,13 @@ def tail_rows(df: DataFrame, n: int, key: str = "row_id") -> DataFrame:
     return slice_rows(df, -n, None, key) if n else df.where(F.lit(False))
 
 
-def cap(df: DataFrame, n: int | None | Mapping[str, int | None], key: str = "row_id") -> DataFrame:
+def cap(df: DataFrame, n: int | None | Mapping[str, int | None], key: str | None = None) -> DataFrame:
     """First n rows per split: 0 is empty, negative drops the last rows, None keeps all.
 
-    Frames from ``recompose`` are ordered by (part, row_id), others by ``row_id``.
+    Rows are ordered by ``part`` where ``recompose`` set it, then by ``key``: ``order_key`` where a
+    recipe set it, else ``row_id``.
     """
+    key = key or ("order_key" if "order_key" in df.columns else "row_id")
     if "split" not in df.columns:
         return slice_rows(df, None, n, key) if n is not None else df
     has_part = "part" in df.columns
@@ -102,23 +104,34 @@ def split_fraction(df: DataFrame, fractions: Sequence[float], names: Sequence[st
     return df.withColumn("split", label)
 
 
-def holdout(df: DataFrame, fraction: float = 0.1, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+def holdout(
+    df: DataFrame, fraction: float = 0.1, seed: int = 42, row_id: str = "row_id", order_key: bool = False
+) -> DataFrame:
     """The last floor(fraction * n) rows of a seeded shuffle become validation, the others train."""
-    return split_by_hash(
-        df, ("train", "validation"), lambda n: [n - F.floor(F.lit(fraction) * n)], seed=seed, row_id=row_id
-    )
 
+    def cuts(n: Column) -> list[Column]:
+        return [n - F.floor(F.lit(fraction) * n)]
+
+    return split_by_hash(df, ("train", "validation"), cuts, seed=seed, row_id=row_id, order_key=order_key)
 
-def prefix_holdout(df: DataFrame, share: int = 10, fraction: float = 0.1, seed: int = 42) -> DataFrame:
+
+def prefix_holdout(
+    df: DataFrame, share: int = 10, fraction: float = 0.1, seed: int = 42, order_key: bool = False
+) -> DataFrame:
     """Keep the first n // share rows, then hold out from those."""
     n, found = keys_at_ranks(df, "row_id", lambda n: [n // share])
     keep = n // share
     first = df.where(F.col("row_id") < F.lit(found[keep])) if keep < n else df
-    return holdout(first, fraction, seed)
+    return holdout(first, fraction, seed, order_key=order_key)
 
 
 def split_stratified(
-    df: DataFrame, by: str, fractions: Sequence[float] = (0.8, 0.1), seed: int = 42, row_id: str = "row_id"
+    df: DataFrame,
+    by: str,
+    fractions: Sequence[float] = (0.8, 0.1),
+    seed: int = 42,
+    row_id: str = "row_id",
+    order_key: bool = False,
 ) -> DataFrame:
     """Seeded shuffle inside each group, then floor(fraction * n) rows per part, the rest to test."""
 
@@ -126,7 +139,9 @@ def split_stratified(
         sizes = [F.floor(F.lit(f) * n) for f in fractions]
         return [reduce(Column.__add__, sizes[: i + 1]) for i in range(len(sizes))]
 
-    return split_by_hash(df, ("train", "validation", "test"), cuts, by=[by], seed=seed, row_id=row_id)
+    return split_by_hash(
+        df, ("train", "validation", "test"), cuts, by=[by], seed=seed, row_id=row_id, order_key=order_key
+    )
 
 
 def recompose(df: DataFrame, recipe: Sequence[Piece], key: str = "row_id") -> DataFrame:

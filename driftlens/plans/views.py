@@ -133,8 +133,8 @@ def logits(spark, sf_dir) -> DataFrame:
         .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
     )
     centres = means.agg(F.array_sort(F.collect_list(F.struct("label", "c")))).scalar()
-    return rows.where("not is_ref").withColumn("_centres", centres).select(
-        "sample_id", "label", "is_ood",
+    return rows.withColumn("_centres", centres).select(
+        "sample_id", "label", "is_ood", "is_ref",
         F.transform("_centres", lambda k: dot(F.col("features"), k["c"])).alias("logits"),
     )
 
@@ -144,7 +144,7 @@ def beams(spark, sf_dir) -> DataFrame:
     return logits(spark, sf_dir).select(
         F.floor(F.col("sample_id") / 4).alias("sample_id"),
         (F.col("sample_id") % 4).cast("int").alias("seq_id"),
-        "label", "is_ood", "logits",
+        "label", "is_ood", "is_ref", "logits",
         F.array_max("logits").alias("likelihood"),
     )
 

@@ -42,19 +42,26 @@ def read_corpus(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
-def read_pair(
-    spark: SparkSession, root: str, name: str, pair: str, splits: Sequence[str] = SPLITS, column: str = "translation"
+def read_pair_corpus(
+    spark: SparkSession, root: str, name: str, pair: str, splits: Sequence[str] = SPLITS
 ) -> DataFrame:
-    """Language pair 'a-b', stored under 'a-b' or 'b-a'; source is always language a."""
+    """The corpus of language pair 'a-b', stored under 'a-b' or 'b-a'."""
     first, second = pair.split("-")
     for config in (pair, f"{second}-{first}"):
         try:
-            return pick_pair(read_corpus(spark, root, name, config, splits), first, second, column)
+            return read_corpus(spark, root, name, config, splits)
         except ValueError:
             continue
     raise ValueError(f"invalid pair for {name}: neither {pair} nor {second}-{first} is stored")
 
 
+def read_pair(
+    spark: SparkSession, root: str, name: str, pair: str, splits: Sequence[str] = SPLITS, column: str = "translation"
+) -> DataFrame:
+    """Source/target of pair 'a-b'; the source is language a, whichever way round the pair is stored."""
+    return pick_pair(read_pair_corpus(spark, root, name, pair, splits), *pair.split("-"), column)
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
