@@ -15,9 +15,9 @@ def _positions(tokens: Sequence[str]) -> dict[str, int]:
     return masks
 
 
-def lcs_rows(first: Sequence[str], second: Sequence[str]) -> Iterable[int]:
-    """After each token of ``first``: a number whose zero bits mark where the LCS with ``second`` grows."""
-    masks, full = _positions(second), (1 << len(second)) - 1
+def _rows(first: Sequence[str], masks: dict[str, int], size: int) -> Iterable[int]:
+    """After each token of ``first``: a number whose zero bits mark where the LCS grows along the other text."""
+    full = (1 << size) - 1
     row = full
     for token in first:
         hits = row & masks.get(token, 0)
@@ -27,24 +27,26 @@ def lcs_rows(first: Sequence[str], second: Sequence[str]) -> Iterable[int]:
 
 def lcs_length(first: Sequence[str], second: Sequence[str]) -> int:
     row = (1 << len(second)) - 1
-    for row in lcs_rows(first, second):
+    for row in _rows(first, _positions(second), len(second)):
         pass
     return len(second) - row.bit_count()
 
 
-def lcs_places(ref: Sequence[str], hyp: Sequence[str]) -> set[int]:
+def lcs_places(ref: Sequence[str], hyp: Sequence[str], masks: dict[str, int] | None = None) -> set[int]:
     """Places of one LCS in ``ref``, walking back from the ends; a tie drops a ref token first."""
-    rows = [(1 << len(hyp)) - 1, *lcs_rows(ref, hyp)]
+    size = len(hyp)
+    rows = [(1 << size) - 1, *_rows(ref, _positions(hyp) if masks is None else masks, size)]
 
     def length(i: int, j: int) -> int:
         return j - (rows[i] & ((1 << j) - 1)).bit_count()
 
-    places, i, j = set(), len(ref), len(hyp)
-    while i and j:
+    places, i, j = set(), len(ref), size
+    left = length(i, j)  # LCS length of what is still to be walked
+    while left:
         if ref[i - 1] == hyp[j - 1]:
             places.add(i - 1)
-            i, j = i - 1, j - 1
-        elif length(i, j - 1) > length(i - 1, j):
+            i, j, left = i - 1, j - 1, left - 1
+        elif rows[i] >> (j - 1) & 1 and length(i - 1, j) < left:
             j -= 1
         else:
             i -= 1
@@ -61,9 +63,15 @@ def summary_hits(refs: Sequence[Sequence[str]], hyps: Sequence[Sequence[str]]) -
     """Union-LCS hits of all reference sentences, each token used no more often than both sides have it."""
     left_ref = Counter(t for s in refs for t in s)
     left_hyp = Counter(t for s in hyps for t in s)
+    # A sentence that occurs twice adds nothing to a union; one that shares no token adds nothing either.
+    different = [(hyp, _positions(hyp)) for hyp in {tuple(h): None for h in hyps}]
     hits = 0
     for ref in refs:
-        for place in sorted(set().union(*[lcs_places(ref, hyp) for hyp in hyps])):
+        words, places = set(ref), set()
+        for hyp, masks in different:
+            if not words.isdisjoint(masks) and len(places) < len(ref):
+                places |= lcs_places(ref, hyp, masks)
+        for place in sorted(places):
             token = ref[place]
             if left_ref[token] > 0 and left_hyp[token] > 0:
                 hits += 1

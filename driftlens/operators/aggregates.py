@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +59,15 @@ def confusion(df: DataFrame, predicted: str = "pred_label", true: str = "true_la
     return df.groupBy(true, predicted).agg(F.count("*").alias("n"))
 
 
+def _field(name: str, row: Column) -> Column:
+    return row[name]
+
+
 def per_generation(df: DataFrame, metrics: tuple[str, ...], sample: str = "sample_id", seq: str = "seq_id") -> DataFrame:
     """Lists per sample, in the order of the returned sequences (a model run returns a fixed few)."""
     ordered = F.array_sort(F.collect_list(F.struct(seq, *metrics)))
     lists = df.groupBy(sample).agg(ordered.alias("_runs"))
-    return lists.select(sample, *[F.transform("_runs", lambda r, m=m: r[m]).alias(m) for m in metrics])
+    return lists.select(sample, *[F.transform("_runs", partial(_field, m)).alias(m) for m in metrics])
 
 
 def align(scores: DataFrame, outputs: DataFrame) -> DataFrame:

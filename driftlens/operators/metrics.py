@@ -141,9 +141,9 @@ def _named(df: DataFrame, keys: Sequence[str], struct: Column, name: str) -> Dat
 def rouge_l(
     pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """rougeL over whole texts; no row moves."""
+    """rougeL over whole texts; long ones are costly and are dealt out evenly first."""
     score = F.pandas_udf(lcs_rouge, PRF)
-    return _named(pairs, keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+    return _named(pairs.select(*keys, hyp, ref).repartition(*keys), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
 
 
 def sentences(text: Column) -> Column:
@@ -160,7 +160,7 @@ def rouge_lsum(
     def tokens(column: str) -> Column:
         return F.transform(sentences(F.col(column)), tokenizer)
 
-    return _named(pairs, keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+    return _named(pairs.select(*keys, hyp, ref).repartition(*keys), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
 
 
 def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -218,12 +218,14 @@ def _uniform_sql(kind: str) -> str:
         proj="SELECT sample_id, is_ref, k, round(sum(v * u), 9) AS p FROM fx_elems JOIN unit USING (i) GROUP BY sample_id, is_ref, k",
         cdf="""SELECT sample_id, k, sum(is_ref::INT) OVER (PARTITION BY k ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
         / (SELECT count(*) FROM fx_features WHERE is_ref) AS f FROM proj""",
-        body=f"SELECT sample_id, 0 AS seq_id, 'depth' AS detector, {six_sql('avg(least(f, 1 - f))')} AS score FROM cdf GROUP BY sample_id",
+        body=f"SELECT sample_id, 0 AS seq_id, 'depth' AS detector, round(avg(least(f, 1 - f)), 9) AS score FROM cdf GROUP BY sample_id",
     ),
 )
 def det_depth(spark, sf_dir):
     rows = V.features(spark, sf_dir)
-    return rounded(D.DataDepth(DEPTH_DIRECTIONS).fit(rows.where("is_ref")).transform(rows), "score")
+    depths = D.DataDepth(DEPTH_DIRECTIONS).fit(rows.where("is_ref")).transform(rows)
+    # Depths are multiples of 1 / (rows * directions) and may lie on a six-decimal tie.
+    return depths.withColumn("score", F.round("score", 9))
 
 
 @query("det_mahalanobis")
@@ -239,14 +241,14 @@ def det_mahalanobis(spark, sf_dir):
         ref="SELECT sample_id, label, i, v FROM fx_elems WHERE is_ref",
         m="SELECT label, i, avg(v) AS m FROM ref GROUP BY label, i",
         centred="SELECT sample_id, i, v - m AS d FROM ref JOIN m USING (label, i)",
-        body=f"""SELECT 'mean' AS kind, label::VARCHAR AS label, i::BIGINT AS i, NULL::BIGINT AS j, {six_sql('m')} AS value FROM m
-        UNION ALL SELECT 'cov', NULL, a.i, b.i, {six_sql('avg(a.d * b.d)')} FROM centred a JOIN centred b USING (sample_id) GROUP BY a.i, b.i""",
+        body=f"""SELECT 'mean' AS kind, label::VARCHAR AS label, i::BIGINT AS i, -1::BIGINT AS j, {six_sql('m')} AS value FROM m
+        UNION ALL SELECT 'cov', 'all', a.i, b.i, {six_sql('avg(a.d * b.d)')} FROM centred a JOIN centred b USING (sample_id) GROUP BY a.i, b.i""",
     ),
 )
 def agg_fit_class_gaussian(spark, sf_dir):
     fit = D.fit_gaussian(V.features(spark, sf_dir).where("is_ref"))
-    means = [("mean", fit.labels[c], i, None, float(v)) for c, row in enumerate(fit.means) for i, v in enumerate(row)]
-    covariances = [("cov", None, i, j, float(v)) for i, row in enumerate(fit.covariance) for j, v in enumerate(row)]
+    means = [("mean", fit.labels[c], i, -1, float(v)) for c, row in enumerate(fit.means) for i, v in enumerate(row)]
+    covariances = [("cov", "all", i, j, float(v)) for i, row in enumerate(fit.covariance) for j, v in enumerate(row)]
     return rounded(spark.createDataFrame(means + covariances, "kind string, label string, i long, j long, value double"), "value")
 
 
@@ -321,21 +323,21 @@ PREDICTED_SQL = "SELECT *, (list_position(logits, list_max(logits)) - 1)::INT AS
 
 @query(
     "agg_accuracy",
-    using("fx_logits", p=PREDICTED_SQL, body=f"""SELECT 'all' AS kind, NULL AS true_label, NULL AS pred_label, count(*) AS n, {six_sql('avg((pred_label = label)::INT)')} AS accuracy FROM p
-    UNION ALL SELECT 'class', label, NULL, count(*), {six_sql('avg((pred_label = label)::INT)')} FROM p GROUP BY label
-    UNION ALL SELECT 'confusion', label, pred_label, count(*), NULL FROM p GROUP BY label, pred_label"""),
+    using("fx_logits", p=PREDICTED_SQL, body=f"""SELECT 'all' AS kind, -1 AS true_label, -1 AS pred_label, count(*) AS n, {six_sql('avg((pred_label = label)::INT)')} AS accuracy FROM p
+    UNION ALL SELECT 'class', label, -1, count(*), {six_sql('avg((pred_label = label)::INT)')} FROM p GROUP BY label
+    UNION ALL SELECT 'confusion', label, pred_label, count(*), (label = pred_label)::INT::DOUBLE FROM p GROUP BY label, pred_label"""),
 )
 def agg_accuracy(spark, sf_dir):
     rows = evaluation.predictions(V.logits(spark, sf_dir))
-    none = F.lit(None).cast("int")
+    every = F.lit(-1)
     overall = aggregates.accuracy(rows).select(
-        F.lit("all").alias("kind"), none.alias("true_label"), none.alias("pred_label"), "n", six("accuracy").alias("accuracy")
+        F.lit("all").alias("kind"), every.alias("true_label"), every.alias("pred_label"), "n", six("accuracy").alias("accuracy")
     )
     classes = aggregates.accuracy(rows, by=("true_label",)).select(
-        F.lit("class").alias("kind"), "true_label", none.alias("pred_label"), "n", six("accuracy").alias("accuracy")
+        F.lit("class").alias("kind"), "true_label", every.alias("pred_label"), "n", six("accuracy").alias("accuracy")
     )
     pairs = aggregates.confusion(rows).select(
-        F.lit("confusion").alias("kind"), "true_label", "pred_label", "n", F.lit(None).cast("double").alias("accuracy")
+        F.lit("confusion").alias("kind"), "true_label", "pred_label", "n", (F.col("true_label") == F.col("pred_label")).cast("double").alias("accuracy")
     )
     return overall.unionByName(classes).unionByName(pairs)
 
@@ -445,7 +447,7 @@ def _bleu_terms(room, match) -> str:
 
 
 BREVITY_SQL = "CASE WHEN hl >= rl THEN 1.0 ELSE exp(1.0 - rl / hl) END"
-SENTENCE_BLEU_SQL = f"""SELECT sample_id, seq_id, {six_sql(f'''CASE WHEN hl = 0 OR m1 + m + m3 + m4 = 0 THEN 0.0 ELSE
+SENTENCE_BLEU_SQL = f"""SELECT sample_id, seq_id, {six_sql(f'''CASE WHEN hl = 0 OR m1 + m2 + m3 + m4 = 0 THEN 0.0 ELSE
     {BREVITY_SQL} * exp(({_bleu_terms(lambda n: f'(hl - {n - 1})', lambda n: f'm{n}')}) / least(hl, 4)) END''')} AS bleu FROM m"""
 
 
