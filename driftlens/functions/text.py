@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftlens.functions.vectors import let
+
 # White space as Python's str.split() sees it.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -42,17 +44,34 @@ def rouge_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def ngram_levels(tokens: Column, max_n: int) -> list[Column]:
-    """[1-grams, ..., max_n-grams]; each level extends the one before by one token."""
-    levels = [tokens]
-    for n in range(2, max_n + 1):
-        heads, size = levels[-1], F.size(tokens) - F.lit(n - 1)
-        room = F.greatest(size, F.lit(0))
-        levels.append(
-            F.zip_with(
-                F.slice(heads, F.lit(1), room),
-                F.slice(tokens, F.lit(n), room),
-                lambda a, b: F.concat(a, F.lit(" "), b),
-            )
-        )
-    return levels
+def longer_ngrams(grams: Column, tokens: Column, n: int) -> Column:
+    """n-grams from the (n-1)-grams of the same tokens."""
+    room = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
+    return F.zip_with(
+        F.slice(grams, F.lit(1), room),
+        F.slice(tokens, F.lit(n), room),
+        lambda head, last: F.concat(head, F.lit(" "), last),
+    )
+
+
+def shared_count(first: Column, second: Column) -> Column:
+    """Size of the multiset intersection of two arrays: one walk along both in sorted order."""
+
+    def walk(sides: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            a, b = F.get(sides["a"], at["i"]), F.get(sides["b"], at["j"])
+
+            def move(i: int, j: int) -> Column:
+                return F.struct(
+                    (at["i"] + i).alias("i"), (at["j"] + j).alias("j"), (at["hits"] + i * j).alias("hits")
+                )
+
+            return F.when(a == b, move(1, 1)).when(a < b, move(1, 0)).otherwise(move(0, 1))
+
+        zero = F.lit(0)
+        start = F.struct(zero.alias("i"), zero.alias("j"), zero.alias("hits"))
+        # Past the end of one side there is nothing to compare, and the hits stay.
+        moves = F.array_repeat(F.lit(0), F.size(sides["a"]) + F.size(sides["b"]))
+        return F.aggregate(moves, start, step)["hits"]
+
+    return let(F.struct(F.sort_array(first).alias("a"), F.sort_array(second).alias("b")), walk)

@@ -3,51 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.lcs import rouge_l as lcs_rouge
 from driftlens.functions.lcs import rouge_lsum as lcs_rouge_sum
-from driftlens.functions.text import mteval_words, ngram_levels, rouge_words
+from driftlens.functions.text import longer_ngrams, mteval_words, rouge_words, shared_count
 from driftlens.operators import pairing
 from driftlens.operators.detectors.projection import cosine
+from driftlens.session import dealt
 
 KEYS = ("sample_id", "seq_id")
 PRF = "precision double, recall double, fmeasure double"
 Tokenizer = Callable[[Column], Column]
 
 
-def _tag(marks: Sequence[Column], gram: Column) -> Column:
-    return F.struct(*marks, gram.alias("gram"))
-
-
 def ngram_overlap(
     pairs: DataFrame, tokenizer: Tokenizer, max_n: int, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Per pair: token counts hyp_len, ref_len and clipped n-gram matches match_1 ... match_n.
 
-    The texts move once, to the pair's partition; n-grams are exploded and counted there, because a
-    distribution by pair also serves a grouping by pair and n-gram.
+    All within the row, so no n-gram is shuffled and a pair of any length stays where it was read.
     """
-    tokens = pairs.select(*keys, tokenizer(F.col(hyp)).alias("_h"), tokenizer(F.col(ref)).alias("_r")).repartition(*keys)
-    sides = []
-    for column, in_hyp, in_ref in (("_h", 1, 0), ("_r", 0, 1)):
-        for n, grams in enumerate(ngram_levels(F.col(column), max_n), start=1):
-            marks = F.lit(n).alias("n"), F.lit(in_hyp).alias("in_hyp"), F.lit(in_ref).alias("in_ref")
-            sides.append(F.transform(grams, partial(_tag, marks)))
-    grams = tokens.select(
-        *keys, F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"), F.explode_outer(F.concat(*sides)).alias("_g")
-    ).select(*keys, "hyp_len", "ref_len", "_g.*")
-    clipped = grams.groupBy(*keys, "hyp_len", "ref_len", "n", "gram").agg(
-        F.least(F.sum("in_hyp"), F.sum("in_ref")).alias("_match")
+    grams = pairs.select(*keys, tokenizer(F.col(hyp)).alias("_h1"), tokenizer(F.col(ref)).alias("_r1"))
+    # One projection per order: longer n-grams are built on the shorter ones instead of anew.
+    for n in range(2, max_n + 1):
+        grams = grams.withColumns(
+            {f"_{s}{n}": longer_ngrams(F.col(f"_{s}{n - 1}"), F.col(f"_{s}1"), n) for s in ("h", "r")}
+        )
+    return grams.select(
+        *keys,
+        F.size("_h1").alias("hyp_len"),
+        F.size("_r1").alias("ref_len"),
+        *[shared_count(F.col(f"_h{n}"), F.col(f"_r{n}")).alias(f"match_{n}") for n in range(1, max_n + 1)],
     )
-    matches = [
-        F.coalesce(F.sum(F.when(F.col("n") == n, F.col("_match"))), F.lit(0)).alias(f"match_{n}")
-        for n in range(1, max_n + 1)
-    ]
-    return clipped.groupBy(*keys, "hyp_len", "ref_len").agg(*matches)
 
 
 def _bleu(hyp_len: Column, ref_len: Column, matches: Sequence[Column], effective: bool) -> Column:
@@ -143,7 +134,7 @@ def rouge_l(
 ) -> DataFrame:
     """rougeL over whole texts; long ones are costly and are dealt out evenly first."""
     score = F.pandas_udf(lcs_rouge, PRF)
-    return _named(pairs.select(*keys, hyp, ref).repartition(*keys), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+    return _named(dealt(pairs.select(*keys, hyp, ref), *keys), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
 
 
 def sentences(text: Column) -> Column:
@@ -160,7 +151,7 @@ def rouge_lsum(
     def tokens(column: str) -> Column:
         return F.transform(sentences(F.col(column)), tokenizer)
 
-    return _named(pairs.select(*keys, hyp, ref).repartition(*keys), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+    return _named(dealt(pairs.select(*keys, hyp, ref), *keys), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
 
 
 def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS) -> DataFrame:

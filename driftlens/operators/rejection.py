@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftlens.operators.ordering import quantiles
+from driftlens.session import materialize
 
 # Rejection rates 0, 0.01, ..., 0.99.
 RATES = tuple(i / 100 for i in range(100))
@@ -22,10 +23,13 @@ def perf_vs_rejection(
     sign: int = 1,
     rates: Sequence[float] = RATES,
     parity: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """(rejection, threshold, n, perf): mean metric of the rows with sign * score strictly above the quantile.
 
-    One exact multi-quantile search, then one pass that counts rows between neighbouring thresholds.
+    One exact multi-quantile search, then one pass that counts rows between neighbouring thresholds. The
+    two columns are written out first, so that scores are not computed once per pass; ``stored`` tells
+    that ``df`` is a plain scan, which is read again instead.
     For sign -1, ``parity`` takes the quantile of the unsigned score. Without a row left, perf is NULL.
     """
     spark = df.sparkSession
@@ -34,6 +38,7 @@ def perf_vs_rejection(
         F.col(score).cast("double").alias("raw"),
         (F.col(score).cast("double") * sign).alias("s"),
     ).where(F.col("s").isNotNull() & ~F.isnan("s"))
+    signed = signed if stored else materialize(signed)
     cuts = quantiles(signed, "raw" if parity else "s", rates)
     levels = sorted({c for c in cuts if c is not None})
     rung = {c: i for i, c in enumerate(levels)}

@@ -287,17 +287,17 @@ DOCS_SQL = "(SELECT doc_id AS row_id, text FROM documents)"
 
 @query("ptb_upper_words", f"SELECT row_id, {_upper_sql('text')} AS text FROM {DOCS_SQL}")
 def ptb_upper_words(spark, sf_dir):
-    return V.documents(spark, sf_dir).select("row_id", perturb.upper_words(F.col("text"), F.col("row_id")).alias("text"))
+    return V.texts(spark, sf_dir).select("row_id", perturb.upper_words(F.col("text"), F.col("row_id")).alias("text"))
 
 
 @query("ptb_delete_chars", f"SELECT row_id, {DELETE_SQL} AS text FROM {DOCS_SQL}")
 def ptb_delete_chars(spark, sf_dir):
-    return V.documents(spark, sf_dir).select("row_id", perturb.delete_chars(F.col("text"), F.col("row_id")).alias("text"))
+    return V.texts(spark, sf_dir).select("row_id", perturb.delete_chars(F.col("text"), F.col("row_id")).alias("text"))
 
 
 @query("ptb_hallucination", f"SELECT row_id, {_upper_sql('thin')} AS text FROM (SELECT row_id, {DELETE_SQL} AS thin FROM {DOCS_SQL})")
 def ptb_hallucination(spark, sf_dir):
-    return perturb.perturb(V.documents(spark, sf_dir).select("row_id", "text"), "hallucination", column="text")
+    return perturb.perturb(V.texts(spark, sf_dir).select("row_id", "text"), "hallucination", column="text")
 
 
 # --- filters -------------------------------------------------------------------------------------
@@ -563,7 +563,7 @@ def agg_split_sizes(spark, sf_dir):
     SELECT token, df, round(idf, 9) AS idf, round(idf / (SELECT sum(idf) FROM f), 12) AS weight FROM f""",
 )
 def agg_idf(spark, sf_dir):
-    docs = V.documents(spark, sf_dir).select("text")
+    docs = V.texts(spark, sf_dir).select("text")
     seen = docs.union(V.table(spark, sf_dir, "benchmark").select("text"))
     vocabulary = seen.select(F.explode(F.array_distinct(aggregates.words(F.col("text")))).alias("token")).distinct()
     weights = aggregates.idf(docs, "text", vocabulary)

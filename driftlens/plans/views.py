@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 from driftlens.functions.hashing import hash_hex
 from driftlens.functions.text import words
 from driftlens.functions.vectors import dot
+from driftlens.session import spread
+from driftlens.sources.corpus import read_saved
 
 CHOICE_LABELS = ("A", "B", "C", "D", "E")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_saved(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """Documents for work that costs much per character."""
+    return spread(documents(spark, sf_dir))
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     """Labelled text: row_id, lang, text, label."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -151,7 +158,7 @@ def beams(spark, sf_dir) -> DataFrame:
 
 def hypotheses(spark, sf_dir) -> DataFrame:
     """Four candidate texts per assistant turn, words dropped by a seeded hash."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    turns = spread(table(spark, sf_dir, "conversations")).where(F.col("role") == "assistant")
     split = F.split("text", r"\s+")
     kept = F.filter(
         split, lambda w, i: F.substring(hash_hex(F.col("seq_id"), F.col("conv_id"), F.col("turn"), i), 1, 8) >= "33333333"
@@ -164,7 +171,7 @@ def hypotheses(spark, sf_dir) -> DataFrame:
 
 def token_scores(spark, sf_dir) -> DataFrame:
     """One number per token, two sequences per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir).withColumnRenamed("row_id", "doc_id")
     return docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("seq_id")).select(
         F.col("doc_id").alias("sample_id"), "seq_id", "lang",
         F.transform(F.split("text", r"\s+"), lambda w: (F.length(w) + F.col("seq_id")).cast("double") / 10).alias("token_scores"),

@@ -46,6 +46,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores (few or small files) is dealt out once.
+
+    A large input has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute by key over the configured partitions, for steps that grow their input.
+
+    The number is explicit, as adaptive execution would merge partitions by their size before the growth.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small derived table that several later steps read."""
     checkpoint_dir(df.sparkSession)

@@ -33,7 +33,7 @@ def read_corpus(
     found = []
     for split in splits:
         try:
-            found.append(spark.read.parquet(locate(split)).withColumn("split", F.lit(split)))
+            found.append(read_saved(spark, locate(split)).withColumn("split", F.lit(split)))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
