@@ -38,12 +38,13 @@ def curve_coefficients(curves: pa.Array) -> pa.Array:
     if len(values) > 1:
         inside = place[1:] > 0
         slope[1:][inside] = np.diff(values)[inside] * np.repeat(sizes, sizes)[1:][inside]
-    rows = []
-    for signal in (values, slope):
-        for f in range(FREQUENCIES):
-            angle = 2 * np.pi * f * time
-            rows += [segment_mean(signal * np.cos(angle), sizes), segment_mean(signal * np.sin(angle), sizes)]
-    return lists_of(np.nan_to_num(np.stack(rows, axis=1)))
+    columns = np.zeros((len(sizes), 4 * FREQUENCIES))
+    for f in range(FREQUENCIES):
+        angle = 2 * np.pi * f * time
+        for at, wave in enumerate((np.cos(angle), np.sin(angle))):
+            columns[:, 2 * f + at] = segment_mean(values * wave, sizes)
+            columns[:, 2 * FREQUENCIES + 2 * f + at] = segment_mean(slope * wave, sizes)
+    return lists_of(np.nan_to_num(columns))
 
 
 def _seed(*parts) -> int:

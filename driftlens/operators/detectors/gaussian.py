@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from driftlens.functions.arrow import lists_of, matrix
 from driftlens.operators.detectors.base import Scorer, key_columns
 
+GRAM_TASKS = 2_000
+
 
 @dataclass
 class GaussianFit:
@@ -32,8 +34,8 @@ class GaussianFit:
 def fit_gaussian(df: DataFrame, features: str = "features", label: str | None = "label") -> GaussianFit:
     """Per-class means, then the pooled scatter around them.
 
-    The second pass sums one Gram matrix per partition; partitions are merged down to the number of
-    running tasks first, so the matrices that meet in the shuffle do not grow with the input.
+    The second pass sums one Gram matrix per task; there are at most GRAM_TASKS tasks or two per core, so
+    the matrices that meet in the shuffle do not grow with the input.
     """
     spark = df.sparkSession
     label_column = F.col(label).cast("string") if label else F.lit("all")
@@ -55,7 +57,7 @@ def fit_gaussian(df: DataFrame, features: str = "features", label: str | None =
                 gram += centred.T @ centred
         yield pa.RecordBatch.from_pydict({"i": np.arange(len(gram)), "row": lists_of(gram)})
 
-    partials = rows.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(scatter, "i long, row array<double>")
+    partials = rows.coalesce(max(GRAM_TASKS, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(scatter, "i long, row array<double>")
     sums = partials.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
     gram = np.array([r["row"] for r in sums.orderBy("i").collect()])
     counts = np.array([r["n"] for r in groups])

@@ -21,6 +21,7 @@ from driftlens.session import broadcast_if_small, materialize
 
 LEAF_ROWS = 200_000  # a bucket this small is ranked by one task
 FAN_OUT = 1_000  # splitters per bucket and round
+MAX_EDGES = 20_000  # splitters per round over all buckets
 HASH_SHIFT = 44  # top 16 of the 60 hash bits: 65,536 even buckets
 
 
@@ -89,6 +90,7 @@ def _within(sizes: dict, buckets: Iterable[float]) -> Column:
 
 
 def _splitters(keys, edges, buckets, sizes, fan_out) -> set[float]:
+    fan_out = max(2, min(fan_out, MAX_EDGES // len(buckets)))
     shares = [i / fan_out for i in range(1, fan_out)]
     rows = (
         _bucketed(keys.where(_within(sizes, buckets)), edges)

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lengths, matrix
 
-BLOCK_ROWS = 1_024
-SMALL_REFERENCE_BYTES = 256 * 2**20
+BLOCK_ROWS = 1_024  # rows of a left block
+REFERENCE_BLOCK_ROWS = 16_384  # rows of a right block, which is copied to every left block's task
+REFERENCE_BLOCK_BYTES = 32 * 2**20
+SMALL_REFERENCE_BYTES = 64 * 2**20  # every Python worker holds one copy
+TABLE_CELLS = 2**24  # scores computed at a time
 
 # (left keys, left vectors, right keys, right vectors) -> output columns for the left rows.
 Emit = Callable[[dict, np.ndarray, np.ndarray, np.ndarray], dict]
@@ -55,6 +58,7 @@ def against_reference(
     vector: str = "vector",
     small_bytes: int = SMALL_REFERENCE_BYTES,
     block_rows: int = BLOCK_ROWS,
+    reference_rows: int = REFERENCE_BLOCK_ROWS,
 ) -> tuple[DataFrame, bool]:
     """Every left row against all right rows. The flag tells whether a left row was emitted once per block."""
     spark = left.sparkSession
@@ -65,14 +69,19 @@ def against_reference(
 
         def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right_keys, reference = shared.value
+            step = max(1, TABLE_CELLS // max(1, len(right_keys)))
             for batch in batches:
-                if batch.num_rows:
-                    keys = {k: batch[k].to_numpy(zero_copy_only=False) for k in left_keys}
-                    yield pa.RecordBatch.from_pydict(emit(keys, matrix(batch[vector]), right_keys, reference))
+                keys = {k: batch[k].to_numpy(zero_copy_only=False) for k in left_keys}
+                rows = matrix(batch[vector])
+                for at in range(0, batch.num_rows, step):
+                    part = slice(at, at + step)
+                    found = emit({k: v[part] for k, v in keys.items()}, rows[part], right_keys, reference)
+                    yield pa.RecordBatch.from_pydict(found)
 
         return left.select(*left_keys, vector).mapInArrow(stay, schema), False
 
-    parts = -(-count // block_rows)
+    reference_rows = max(1, min(reference_rows, REFERENCE_BLOCK_BYTES // (8 * width)))
+    parts = -(-count // reference_rows)
     rows = max(1, left.count())
     right_block = F.pmod(F.xxhash64(right_key), F.lit(parts))
     left_block = F.pmod(F.xxhash64(*left_keys), F.lit(-(-rows // block_rows)))
@@ -129,8 +138,14 @@ def best_partners(scores: np.ndarray, right_keys: np.ndarray, k: int, largest: b
     k = min(k, scores.shape[1])
     if k == 1:
         places = signed.argmin(axis=1)[:, None]
-    else:
+    elif scores.shape[1] <= 8 * k:
         places = np.argsort(signed, axis=1, kind="stable")[:, :k]
+    else:
+        places = np.empty((len(signed), k), dtype=np.int64)
+        worst = np.partition(signed, k - 1, axis=1)[:, k - 1]
+        for row, values in enumerate(signed):
+            near = np.flatnonzero(values <= worst[row])
+            places[row] = near[np.argsort(values[near], kind="stable")[:k]]
     return right_keys[places], np.take_along_axis(scores, places, axis=1)
 
 

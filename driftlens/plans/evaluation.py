@@ -36,12 +36,19 @@ def predictions(outputs: DataFrame, true_label: str = "label") -> DataFrame:
     )
 
 
+def _scores(outputs: DataFrame, scorers: Sequence[Scorer], dataset_in: str) -> DataFrame:
+    """(sample_id, seq_id, scores map): texts are joined to one row per sequence, not one per detector."""
+    reference = reference_rows(outputs, dataset_in)
+    long = score_all([s.fit(reference) for s in scorers], outputs)
+    entries = F.collect_list(F.struct("detector", "score"))
+    return long.groupBy("sample_id", "seq_id").agg(F.map_from_entries(entries).alias("scores"))
+
+
 def evaluate_classification(
     outputs: DataFrame, scorers: Sequence[Scorer], dataset_in: str, model: str = "model", true_label: str = "label", **meta
 ) -> DataFrame:
-    """Long records: one row per sample and detector, with prediction, likelihood and run metadata."""
-    reference = reference_rows(outputs, dataset_in)
-    scores = score_all([s.fit(reference) for s in scorers], outputs)
+    """Records: one row per sample with prediction, likelihood, the scores by detector and run metadata."""
+    scores = _scores(outputs, scorers, dataset_in)
     rows = predictions(outputs, true_label).withColumn("seq_id", F.lit(0))
     return with_metadata(align(scores, rows), model=model, dataset_in=dataset_in, **meta)
 
@@ -54,9 +61,8 @@ def evaluate_generation(
     model: str = "model",
     **meta,
 ) -> DataFrame:
-    """Long records: one row per sample, sequence and detector, with texts, likelihood and task metrics."""
-    reference = reference_rows(outputs, dataset_in)
-    scores = score_all([s.fit(reference) for s in scorers], outputs)
+    """Records: one row per sample and sequence with texts, likelihood, task metrics and the scores by detector."""
+    scores = _scores(outputs, scorers, dataset_in)
     texts = outputs.select("sample_id", "seq_id", *TAGS, "hyp", "ref", "likelihood")
     rows = texts
     for metric in metrics:

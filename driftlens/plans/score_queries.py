@@ -546,12 +546,19 @@ def _tagged(rows):
     )
 
 
+def _flat(records, scorers, *numbers):
+    """One column per detector instead of the map."""
+    names = [n for s in scorers for n in s.score_names]
+    wide = records.select(*[c for c in records.columns if c != "scores"], *[six(F.col("scores")[n]).alias(n) for n in names])
+    return rounded(wide, *numbers)
+
+
 @query("flow_classification")
 def flow_classification(spark, sf_dir):
     features, logits = V.features(spark, sf_dir), V.logits(spark, sf_dir).select("sample_id", "logits")
     outputs = _tagged(features.join(logits, "sample_id"))
     scorers = [D.Mahalanobis(), D.CosineProjection(), D.DataDepth(DEPTH_DIRECTIONS), D.MSP(), D.Energy()]
-    return rounded(evaluation.evaluate_classification(outputs, scorers, "in", "org/model", seed=42), "score", "likelihood")
+    return _flat(evaluation.evaluate_classification(outputs, scorers, "in", "org/model", seed=42), scorers, "likelihood")
 
 
 @query("flow_generation")
@@ -565,7 +572,7 @@ def flow_generation(spark, sf_dir):
     outputs = _tagged(drawn)
     scorers = [D.RenyiNeg((1.0,), (0.5, 2.0)), D.MSP(), D.Energy(), D.BeamRenyiProjection((1.0,), (0.5,), (2,))]
     records = evaluation.evaluate_generation(outputs, scorers, [metrics.sentence_bleu, metrics.rouge_l], "in", "org/model", seed=42)
-    return rounded(records.drop("hyp", "ref"), "score", "likelihood", "bleu", "rougeL_fmeasure")
+    return _flat(records.drop("hyp", "ref"), scorers, "likelihood", "bleu", "rougeL_fmeasure")
 
 
 @query("flow_aggregate")

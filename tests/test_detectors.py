@@ -8,7 +8,7 @@ from driftlens.operators.detectors.projection import nearest
 from driftlens.operators.rejection import perf_vs_rejection
 from driftlens.streaming import score_stream
 
-BLOCKS = {"small_bytes": 0, "block_rows": 7}
+BLOCKS = {"small_bytes": 0, "block_rows": 7, "reference_rows": 11}
 
 
 @pytest.fixture(scope="module")
