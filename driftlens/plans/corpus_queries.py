@@ -43,11 +43,17 @@ def src_disk(spark, sf_dir):
     return pages.select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
-@query("src_ingest_sweep")
+@query(
+    "src_ingest_sweep",
+    """SELECT 'documents' AS name, 'ok' AS status, count(*) AS rows, false AS has_error FROM documents
+    UNION ALL SELECT 'conversations', 'ok', count(*), false FROM conversations
+    UNION ALL SELECT 'labels', 'ok', count(*), false FROM labels UNION ALL SELECT 'absent', 'failed', 0, true""",
+)
 def src_ingest_sweep(spark, sf_dir):
     names = ("documents", "conversations", "labels", "absent")
     registry = {n: lambda s, n=n: corpus.read_saved(s, f"{sf_dir}/{n}.parquet") for n in names}
-    return corpus.ingest_all(spark, registry, scratch_path(spark, "ingest"))
+    report = corpus.ingest_all(spark, registry, scratch_path(spark, "ingest"))
+    return report.select("name", "status", "rows", F.col("error").isNotNull().alias("has_error"))
 
 
 def _lang_records(spark, sf_dir):

@@ -561,7 +561,32 @@ def flow_classification(spark, sf_dir):
     return _flat(evaluation.evaluate_classification(outputs, scorers, "in", "org/model", seed=42), scorers, "likelihood")
 
 
-@query("flow_generation")
+FLOW_DRAWN_SQL = """SELECT h.sample_id, h.seq_id, l.label, l.is_ood, l.is_ref, l.logits, list_max(l.logits) AS likelihood
+    FROM fx_hyps h JOIN fx_logits l ON l.sample_id = (h.sample_id * 4 + h.seq_id) % (SELECT count(*) FROM fx_logits)"""
+
+
+@query(
+    "flow_generation",
+    using(
+        "fx_hyps", "fx_logits", **_overlap_ctes(_mteval_sql, 4),
+        bleu=SENTENCE_BLEU_SQL,
+        drawn=FLOW_DRAWN_SQL,
+        soft=f"SELECT *, {log_softmax('logits')} AS lp, 0.5 AS alpha FROM drawn",
+        pairs=f"""SELECT a.sample_id, a.seq_id, {PROJECTION_SQL.replace('alpha', 'a.alpha')} AS d,
+        FROM soft a JOIN soft b ON a.sample_id = b.sample_id AND a.seq_id <> b.seq_id""",
+        ranked="SELECT *, row_number() OVER (PARTITION BY sample_id, seq_id ORDER BY d) AS rn FROM pairs",
+        beam="SELECT sample_id, seq_id, avg(d) AS d FROM ranked WHERE rn <= 2 GROUP BY sample_id, seq_id",
+        body=f"""SELECT sample_id, seq_id, CASE WHEN is_ref THEN 'validation' ELSE 'test' END AS phase,
+        CASE WHEN is_ood THEN 'out' ELSE 'in' END AS dataset_out, {six_sql('likelihood')} AS likelihood, bleu,
+        'org/model' AS model, 'in' AS dataset_in, 42 AS seed,
+        {six_sql('ln(len(lp)) - 2 * ln(list_sum(list_transform(lp, lambda x: exp(x / 2))))')} AS "{label('renyi', temperature=1.0, alpha=0.5, mode='output')}",
+        {six_sql('ln(len(lp)) + ln(list_sum(list_transform(lp, lambda x: exp(2 * x))))')} AS "{label('renyi', temperature=1.0, alpha=2.0, mode='output')}",
+        {six_sql('1 - exp(list_max(lp))')} AS "{label('msp', temperature=1.0, mode='output')}",
+        {six_sql('lp[1] - logits[1]')} AS "{label('energy', temperature=1.0, mode='output')}",
+        {six_sql('d')} AS "{label('beam_projection', temperature=1.0, alpha=0.5, n_neighbors=2)}"
+        FROM soft JOIN bleu USING (sample_id, seq_id) JOIN beam USING (sample_id, seq_id)""",
+    ),
+)
 def flow_generation(spark, sf_dir):
     turns = V.hypotheses(spark, sf_dir)
     # Sequences of a turn get the logits of the embedding with the turn's number.
@@ -571,8 +596,8 @@ def flow_generation(spark, sf_dir):
     drawn = keyed.join(logits.withColumnRenamed("sample_id", "_row"), "_row").withColumn("likelihood", F.array_max("logits"))
     outputs = _tagged(drawn)
     scorers = [D.RenyiNeg((1.0,), (0.5, 2.0)), D.MSP(), D.Energy(), D.BeamRenyiProjection((1.0,), (0.5,), (2,))]
-    records = evaluation.evaluate_generation(outputs, scorers, [metrics.sentence_bleu, metrics.rouge_l], "in", "org/model", seed=42)
-    return _flat(records.drop("hyp", "ref"), scorers, "likelihood", "bleu", "rougeL_fmeasure")
+    records = evaluation.evaluate_generation(outputs, scorers, [metrics.sentence_bleu], "in", "org/model", seed=42)
+    return _flat(records.drop("hyp", "ref"), scorers, "likelihood", "bleu")
 
 
 @query("flow_aggregate")
