@@ -13,7 +13,7 @@ from driftlens.functions.lcs import rouge_lsum as lcs_rouge_sum
 from driftlens.functions.text import longer_ngrams, mteval_words, rouge_words, shared_count
 from driftlens.operators import pairing
 from driftlens.operators.detectors.projection import cosine
-from driftlens.session import dealt
+from driftlens.session import broadcast_if_small, dealt
 
 KEYS = ("sample_id", "seq_id")
 PRF = "precision double, recall double, fmeasure double"
@@ -170,10 +170,11 @@ def stemmed(tokenizer: Tokenizer, pairs: DataFrame, stem_map: DataFrame, columns
 
     Tokens the table does not hold stay as they are.
     """
+    stems_by_token = broadcast_if_small(stem_map.select("token", "stem"))
     result = pairs
     for column in columns:
         tokens = pairs.select(*keys, F.posexplode(tokenizer(F.col(column))).alias("_pos", "token"))
-        stems = tokens.join(stem_map.select("token", "stem"), "token", "left")
+        stems = tokens.join(stems_by_token, "token", "left")
         texts = stems.groupBy(*keys).agg(
             F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("stem", "token").alias("t")))).alias("_t")
         )

@@ -16,6 +16,8 @@ from driftlens.functions.vectors import argmax, let, log_softmax
 from driftlens.operators.aggregates import align, token_stats
 from driftlens.operators.detectors import FunctionalIsolationForest, Scorer
 from driftlens.operators.detectors.base import score_all
+from driftlens.operators.filters import score_keys
+from driftlens.operators.splits import union_all
 from driftlens.sources.records import with_metadata
 
 TAGS = ("phase", "dataset_out")
@@ -70,6 +72,20 @@ def evaluate_generation(
     return with_metadata(align(scores, rows), model=model, dataset_in=dataset_in, **meta)
 
 
+def aggregate_token_records(validation: DataFrame, test: DataFrame, substring: str = "mode=token", **forest) -> DataFrame:
+    """The same for a long table of token scores: each detector whose key holds ``substring`` gets its own forest.
+
+    The number of detectors is that of the parameter grid.
+    """
+    keys = [r["detector"] for r in score_keys(validation, substring).select("detector").distinct().orderBy("detector").collect()]
+    scored = []
+    for key in keys:
+        mine = F.col("detector") == key
+        rows = aggregate_records(validation.where(mine), test.where(mine), **forest)
+        scored.append(rows)
+    return union_all(*scored)
+
+
 def aggregate_records(validation: DataFrame, test: DataFrame, column: str = "token_scores", **forest) -> DataFrame:
     """Per sequence of the test records: mean and deviation of the token scores and the forest's score.
 

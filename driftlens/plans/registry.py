@@ -28,5 +28,10 @@ def six(value: Column | str) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
+def six_off_ties(value: Column | str) -> Column:
+    """Six decimals of a ratio of whole numbers, which may lie exactly between two of them."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + F.lit(1e-9), 6)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: six(F.col(c)) for c in columns})

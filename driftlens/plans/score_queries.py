@@ -18,9 +18,10 @@ from driftlens.operators.rejection import perf_vs_rejection
 from driftlens.plans import evaluation
 from driftlens.plans import views as V
 from driftlens.plans.experiments import experiment_matrix, tag_scores
-from driftlens.plans.registry import query, rounded, six
+from driftlens.plans.registry import query, rounded, six, six_off_ties
 from driftlens.plans.sqlviews import log_softmax, using
 from driftlens.plans.sqlviews import six as six_sql
+from driftlens.plans.sqlviews import six_off_ties as six_off_ties_sql
 
 # --- scoring expressions -------------------------------------------------------------------------
 
@@ -218,14 +219,13 @@ def _uniform_sql(kind: str) -> str:
         proj="SELECT sample_id, is_ref, k, round(sum(v * u), 9) AS p FROM fx_elems JOIN unit USING (i) GROUP BY sample_id, is_ref, k",
         cdf="""SELECT sample_id, k, sum(is_ref::INT) OVER (PARTITION BY k ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
         / (SELECT count(*) FROM fx_features WHERE is_ref) AS f FROM proj""",
-        body=f"SELECT sample_id, 0 AS seq_id, 'depth' AS detector, round(avg(least(f, 1 - f)), 9) AS score FROM cdf GROUP BY sample_id",
+        body=f"SELECT sample_id, 0 AS seq_id, 'depth' AS detector, {six_off_ties_sql('avg(least(f, 1 - f))')} AS score FROM cdf GROUP BY sample_id",
     ),
 )
 def det_depth(spark, sf_dir):
     rows = V.features(spark, sf_dir)
     depths = D.DataDepth(DEPTH_DIRECTIONS).fit(rows.where("is_ref")).transform(rows)
-    # Depths are multiples of 1 / (rows * directions) and may lie on a six-decimal tie.
-    return depths.withColumn("score", F.round("score", 9))
+    return depths.withColumn("score", six_off_ties("score"))
 
 
 @query("det_mahalanobis")
@@ -311,11 +311,12 @@ def det_fif(spark, sf_dir):
 
 @query(
     "agg_token_stats",
-    using("fx_token_scores", body=f"""SELECT sample_id, seq_id, lang, {six_sql('list_avg(token_scores)')} AS token_scores_mean,
-    {six_sql('list_stddev_pop(token_scores)')} AS token_scores_std FROM fx_token_scores"""),
+    using("fx_token_scores", body=f"""SELECT sample_id, seq_id, lang, {six_off_ties_sql('list_avg(token_scores)')} AS token_scores_mean,
+    {six_off_ties_sql('list_stddev_pop(token_scores)')} AS token_scores_std FROM fx_token_scores"""),
 )
 def agg_token_stats(spark, sf_dir):
-    return rounded(aggregates.token_stats(V.token_scores(spark, sf_dir)), "token_scores_mean", "token_scores_std")
+    stats = aggregates.token_stats(V.token_scores(spark, sf_dir))
+    return stats.withColumns({c: six_off_ties(c) for c in ("token_scores_mean", "token_scores_std")})
 
 
 PREDICTED_SQL = "SELECT *, (list_position(logits, list_max(logits)) - 1)::INT AS pred_label FROM fx_logits"

@@ -89,5 +89,9 @@ def log_softmax(logits: str, temperature: str = "1.0") -> str:
     return f"list_transform({logits}, lambda x: x / {temperature} - {norm})"
 
 
+def six_off_ties(expression: str) -> str:
+    return f"round({expression} + 1e-9, 6)"
+
+
 def six(expression: str) -> str:
     return f"round({expression}, 6) + 0.0"

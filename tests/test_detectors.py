@@ -6,6 +6,7 @@ from driftlens.operators import detectors as D
 from driftlens.operators import metrics
 from driftlens.operators.detectors.projection import nearest
 from driftlens.operators.rejection import perf_vs_rejection
+from driftlens.plans.evaluation import aggregate_token_records
 from driftlens.streaming import score_stream
 
 BLOCKS = {"small_bytes": 0, "block_rows": 7, "reference_rows": 11}
@@ -164,3 +165,17 @@ def test_fitted_scorers_run_on_streams(spark, points, tmp_path):
     stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, fitted, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     close(scores(spark.read.parquet(str(tmp_path / "out"))), scores(fitted.transform(points)))
+
+
+def test_token_records_per_detector(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, 0, rng.normal(size=(4 + i % 3, 6)).tolist()) for i in range(40)]
+    outputs = spark.createDataFrame(rows, "sample_id long, seq_id int, token_logits array<array<double>>")
+    curves = D.RenyiNeg((1.0,), (0.5, 2.0), mode="token").transform_tokens(outputs)
+    records = aggregate_token_records(curves, curves, n_trees=5)
+    assert records.count() == 80
+    assert set(records.columns) == {"sample_id", "seq_id", "detector", "token_scores_mean", "token_scores_std", "fif_token_scores"}
+    means = scores(D.RenyiNeg((1.0,), (0.5, 2.0)).transform(outputs))
+    for r in records.collect():
+        key = (r["sample_id"], r["seq_id"], r["detector"].replace("mode=token", "mode=output"))
+        assert abs(r["token_scores_mean"] - means[key]) < 1e-12
