@@ -33,6 +33,10 @@ class Scorer:
     def transform(self, outputs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def score_map(self, outputs: DataFrame) -> Column | None:
+        """{detector: score} of each row, for scorers that need no other row; None for the others."""
+        return None
+
 
 def score_all(scorers: Sequence[Scorer], outputs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [s.transform(outputs) for s in scorers])

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -153,7 +153,15 @@ class FunctionalIsolationForest(Scorer):
         self.shared = reference.sparkSession.sparkContext.broadcast((packed, depth, norm or 1.0))
         return self
 
+    def score_map(self, outputs: DataFrame) -> Column:
+        return F.create_map(F.lit(self.score_names[0]), self._oddness())
+
     def transform(self, outputs: DataFrame) -> DataFrame:
+        return outputs.select(
+            *key_columns(outputs), F.lit(self.score_names[0]).alias("detector"), self._oddness().alias("score")
+        )
+
+    def _oddness(self) -> Column:
         shared = self.shared
 
         def paths(x: np.ndarray) -> np.ndarray:
@@ -171,5 +179,4 @@ class FunctionalIsolationForest(Scorer):
         def score(curves: pa.Array) -> pa.Array:
             return pa.array(paths(matrix(curve_coefficients(curves))) if len(curves) else np.empty(0))
 
-        scored = F.arrow_udf(score, "double")(F.col(self.column))
-        return outputs.select(*key_columns(outputs), F.lit(self.score_names[0]).alias("detector"), scored.alias("score"))
+        return F.arrow_udf(score, "double")(F.col(self.column))

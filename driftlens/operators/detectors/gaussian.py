@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lists_of, matrix
@@ -81,7 +81,15 @@ class Mahalanobis(Scorer):
         self.shared = reference.sparkSession.sparkContext.broadcast((whiten, self.fitted.means @ whiten))
         return self
 
+    def score_map(self, outputs: DataFrame) -> Column:
+        return F.create_map(F.lit("mahalanobis"), self._distance())
+
     def transform(self, outputs: DataFrame) -> DataFrame:
+        return outputs.select(
+            *key_columns(outputs), F.lit("mahalanobis").alias("detector"), self._distance().alias("score")
+        )
+
+    def _distance(self) -> Column:
         shared = self.shared
 
         def nearest(features: pa.Array) -> pa.Array:
@@ -92,7 +100,4 @@ class Mahalanobis(Scorer):
                 best = np.minimum(best, ((points - centre) ** 2).sum(axis=1))
             return pa.array(best)
 
-        score = F.arrow_udf(nearest, "double")
-        return outputs.select(
-            *key_columns(outputs), F.lit("mahalanobis").alias("detector"), score(F.col(self.features)).alias("score")
-        )
+        return F.arrow_udf(nearest, "double")(F.col(self.features))

@@ -83,15 +83,20 @@ class TokenScorer(Scorer):
 
         return run
 
-    def transform(self, outputs: DataFrame) -> DataFrame:
+    def _averages(self, outputs: DataFrame) -> Column:
         run = self._token_matrix()
 
         def averages(column: pa.Array) -> pa.Array:
             scores, per_row = run(column)
             return lists_of(segment_mean(scores, per_row).T.copy())
 
-        score = F.arrow_udf(averages, "array<double>")
-        return self._long(outputs, score(token_column(outputs, self.mode)), "score")
+        return F.arrow_udf(averages, "array<double>")(token_column(outputs, self.mode))
+
+    def score_map(self, outputs: DataFrame) -> Column:
+        return F.map_from_arrays(F.array(*[F.lit(n) for n in self.score_names]), self._averages(outputs))
+
+    def transform(self, outputs: DataFrame) -> DataFrame:
+        return self._long(outputs, self._averages(outputs), "score")
 
     def transform_tokens(self, outputs: DataFrame) -> DataFrame:
         """(sample_id, seq_id, detector, token_scores array): the "token" mode."""

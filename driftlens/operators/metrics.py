@@ -1,4 +1,8 @@
-"""Task metrics of generated texts against references, one row per (sample, sequence)."""
+"""Task metrics of generated texts against references, one row per (sample, sequence).
+
+``keys`` are the columns kept beside the scores, the identifying ones first; with all columns of the pairs a
+metric is added in place and nothing has to be joined back.
+"""
 
 from __future__ import annotations
 
@@ -134,7 +138,7 @@ def rouge_l(
 ) -> DataFrame:
     """rougeL over whole texts; long ones are costly and are dealt out evenly first."""
     score = F.pandas_udf(lcs_rouge, PRF)
-    return _named(dealt(pairs.select(*keys, hyp, ref), *keys), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+    return _named(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
 
 
 def sentences(text: Column) -> Column:
@@ -151,7 +155,7 @@ def rouge_lsum(
     def tokens(column: str) -> Column:
         return F.transform(sentences(F.col(column)), tokenizer)
 
-    return _named(dealt(pairs.select(*keys, hyp, ref), *keys), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+    return _named(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
 
 
 def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.vectors import argmax, let, log_softmax
-from driftlens.operators.aggregates import align, token_stats
+from driftlens.operators.aggregates import token_stats
 from driftlens.operators.detectors import FunctionalIsolationForest, Scorer
 from driftlens.operators.detectors.base import score_all
 from driftlens.operators.filters import score_keys
@@ -38,38 +38,50 @@ def predictions(outputs: DataFrame, true_label: str = "label") -> DataFrame:
     )
 
 
-def _scores(outputs: DataFrame, scorers: Sequence[Scorer], dataset_in: str) -> DataFrame:
-    """(sample_id, seq_id, scores map): texts are joined to one row per sequence, not one per detector."""
+def _scored(outputs: DataFrame, scorers: Sequence[Scorer], dataset_in: str) -> DataFrame:
+    """Outputs with a ``scores`` map by detector.
+
+    Scorers that look at one row at a time add to the map in place; only the scores of the others are
+    gathered per sequence and joined.
+    """
     reference = reference_rows(outputs, dataset_in)
-    long = score_all([s.fit(reference) for s in scorers], outputs)
+    fitted = [s.fit(reference) for s in scorers]
+    maps = [m for m in (s.score_map(outputs) for s in fitted) if m is not None]
+    apart = [s for s in fitted if s.score_map(outputs) is None]
+    none = F.create_map().cast("map<string,double>")
+    rows = outputs.withColumn("scores", F.map_concat(*maps) if maps else none)
+    if not apart:
+        return rows
     entries = F.collect_list(F.struct("detector", "score"))
-    return long.groupBy("sample_id", "seq_id").agg(F.map_from_entries(entries).alias("scores"))
+    others = score_all(apart, outputs).groupBy("sample_id", "seq_id").agg(F.map_from_entries(entries).alias("_others"))
+    joined = rows.join(others, ["sample_id", "seq_id"], "left")
+    return joined.withColumn("scores", F.map_concat("scores", F.coalesce("_others", none))).drop("_others")
 
 
 def evaluate_classification(
     outputs: DataFrame, scorers: Sequence[Scorer], dataset_in: str, model: str = "model", true_label: str = "label", **meta
 ) -> DataFrame:
     """Records: one row per sample with prediction, likelihood, the scores by detector and run metadata."""
-    scores = _scores(outputs, scorers, dataset_in)
-    rows = predictions(outputs, true_label).withColumn("seq_id", F.lit(0))
-    return with_metadata(align(scores, rows), model=model, dataset_in=dataset_in, **meta)
+    single = outputs if "seq_id" in outputs.columns else outputs.withColumn("seq_id", F.lit(0))
+    rows = predictions(_scored(single, scorers, dataset_in), true_label)
+    return with_metadata(rows, model=model, dataset_in=dataset_in, **meta)
 
 
 def evaluate_generation(
     outputs: DataFrame,
     scorers: Sequence[Scorer],
-    metrics: Sequence[Callable[[DataFrame], DataFrame]],
+    metrics: Sequence[Callable[..., DataFrame]],
     dataset_in: str,
     model: str = "model",
     **meta,
 ) -> DataFrame:
     """Records: one row per sample and sequence with texts, likelihood, task metrics and the scores by detector."""
-    scores = _scores(outputs, scorers, dataset_in)
-    texts = outputs.select("sample_id", "seq_id", *TAGS, "hyp", "ref", "likelihood")
-    rows = texts
+    rows = _scored(outputs, scorers, dataset_in).select(
+        "sample_id", "seq_id", *TAGS, "hyp", "ref", "likelihood", "scores"
+    )
     for metric in metrics:
-        rows = rows.join(metric(texts), ["sample_id", "seq_id"])
-    return with_metadata(align(scores, rows), model=model, dataset_in=dataset_in, **meta)
+        rows = metric(rows, keys=rows.columns)
+    return with_metadata(rows, model=model, dataset_in=dataset_in, **meta)
 
 
 def aggregate_token_records(validation: DataFrame, test: DataFrame, substring: str = "mode=token", **forest) -> DataFrame:
@@ -92,6 +104,6 @@ def aggregate_records(validation: DataFrame, test: DataFrame, column: str = "tok
     The forest is grown on the first sequence of each validation sample.
     """
     grown = FunctionalIsolationForest(column=column, **forest).fit(validation)
-    stats = token_stats(test, column)
-    scored = grown.transform(test).select("sample_id", "seq_id", F.col("score").alias(grown.score_names[0]))
-    return stats.join(scored, ["sample_id", "seq_id"])
+    name = grown.score_names[0]
+    scored = test.withColumn(name, grown.score_map(test)[name])
+    return token_stats(scored, column)
