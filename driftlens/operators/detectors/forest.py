@@ -115,11 +115,13 @@ class FunctionalIsolationForest(Scorer):
     def fit(self, reference: DataFrame) -> FunctionalIsolationForest:
         keyed = reference.select(*key_columns(reference), F.col(self.column).alias("curve"))
         firsts = keyed.where((F.col("seq_id") == 0) & (F.size("curve") > 0))
-        # A sample of fixed size: only the best rows of each partition travel.
         size, trees, seed, alpha = self.sample_size, self.n_trees, self.seed, self.alpha
-        drawn = (
-            firsts.withColumn("_h", hash_key(seed, F.col("sample_id"))).orderBy("_h", "sample_id").limit(size * trees)
-        )
+        # The lowest hashes make the sample. Hashes are even over 60 bits, so a bound six deviations above
+        # the wanted number leaves little more than the sample to be sorted, however long the input.
+        wanted = size * trees
+        share = min(1.0, (wanted + 6 * math.sqrt(wanted) + 10) / max(1, firsts.count()))
+        hashed = firsts.withColumn("_h", hash_key(seed, F.col("sample_id")))
+        drawn = hashed.where(F.col("_h") <= int(share * (2**60 - 1))).orderBy("_h", "sample_id").limit(wanted)
         coefficients = F.arrow_udf(curve_coefficients, "array<double>")
         pool = materialize(drawn.select("sample_id", coefficients(F.col("curve")).alias("x")))
         dealt = pool.select("sample_id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
