@@ -57,9 +57,9 @@ def random_negative(
     own = places.select(
         F.col("split").alias("_split"), F.col("answer").alias(good), F.col("n").alias("_n"), F.col("start").alias("_start")
     )
+    met = rows.join(F.broadcast(own), ["_split", good], "left") if small else _own_runs(rows, own, size, good, row_id)
     drawn = (
-        rows.join(F.broadcast(own) if small else own, ["_split", good], "left")
-        .withColumn("_free", size - F.coalesce("_n", F.lit(0)))
+        met.withColumn("_free", size - F.coalesce("_n", F.lit(0)))
         .withColumn(
             "_free",
             F.when(F.col("_free") > 0, F.col("_free")).otherwise(
@@ -77,6 +77,26 @@ def random_negative(
     return _by_slots(drawn, places, known, df.columns, out, slot, row_id)
 
 
+def _own_runs(rows: DataFrame, own: DataFrame, size: Column, good: str, row_id: str) -> DataFrame:
+    """Each row with the run of its right answer, for pools too large to broadcast.
+
+    Answers with a thousandth of a pool's copies, at most a thousand per split, are broadcast. Their rows
+    and those without an answer enter the shuffled join of the others under a key of their own, so no task
+    gets all rows of one answer.
+    """
+    hot = own.where(F.col("_n") * 1_000 >= size).select(
+        "_split", good, F.col("_n").alias("_hot_n"), F.col("_start").alias("_hot_start")
+    )
+    cold = own.where(F.col("_n") * 1_000 < size).select(
+        "_split", F.col(good).alias("_key"), F.lit(True).alias("_cold"), "_n", "_start"
+    )
+    tagged = rows.join(F.broadcast(hot), ["_split", good], "left")
+    tagged = tagged.withColumn("_cold", F.col("_hot_n").isNull() & F.col(good).isNotNull())
+    keyed = tagged.withColumn("_key", F.when(F.col("_cold"), F.col(good)).otherwise(F.col(row_id).cast("string")))
+    met = keyed.join(cold, ["_split", "_key", "_cold"], "left")
+    return met.withColumns({"_n": F.coalesce("_hot_n", "_n"), "_start": F.coalesce("_hot_start", "_start")})
+
+
 def _slotted(places: DataFrame, width: Column) -> DataFrame:
     """One row per (answer run, slot it reaches into)."""
     first = F.floor(F.col("start") / width)

@@ -24,19 +24,20 @@ def test_dialog_prefixes(spark, block):
 
 def test_negatives_agree_on_both_ways_and_differ_from_the_answer(spark):
     rng = random.Random(2)
-    answers = ["hot"] * 300 + [f"a{rng.randrange(400)}" for _ in range(600)]
+    # "hot" is above a thousandth of the pool, the others of 1,500 rows mostly below.
+    answers = ["hot"] * 300 + [f"a{i}" for i in range(1_200)]
     rng.shuffle(answers)
     df = spark.createDataFrame([(i, "train" if i % 4 else "test", a) for i, a in enumerate(answers)], "row_id long, split string, good string")
     pool = answer_pool(df, F.array("good"))
     broadcast = random_negative(df, pool, "good")
     shuffled = random_negative(df, pool, "good", max_broadcast=0, slot=16)
     one, two = ({r["row_id"]: r["negative"] for r in d.collect()} for d in (broadcast, shuffled))
-    assert one == two and len(one) == 900
+    assert one == two and len(one) == 1_500
     assert all(one[i] != a for i, a in enumerate(answers))
     drawn = Counter(one.values())
     assert drawn["hot"] > 100  # a third of the pool stays a third of the draws for other answers
     other = random_negative(df, pool, "good", max_broadcast=0, slot=16, pool_split="test")
-    assert other.where("negative is null or negative = good").count() == 0 and other.count() == 900
+    assert other.where("negative is null or negative = good").count() == 0 and other.count() == 1_500
 
 
 def test_more_rows_than_pool_places(spark):
@@ -47,6 +48,14 @@ def test_more_rows_than_pool_places(spark):
     assert one == two and {r["negative"] for r in one} == {"y", "z"}
 
 
+def test_rows_without_an_answer_draw_from_the_whole_pool(spark):
+    df = spark.createDataFrame([(i, "train", None if i % 2 else "x") for i in range(40)], "row_id long, split string, good string")
+    pool = spark.createDataFrame([("train", "x", 1), ("train", "y", 1)], "split string, answer string, n long")
+    one, two = (random_negative(df, pool, "good", **how).orderBy("row_id").collect() for how in ({}, {"max_broadcast": 0, "slot": 2}))
+    assert one == two
+    assert {r["negative"] for r in one if r["good"] is None} == {"x", "y"} and {r["negative"] for r in one if r["good"]} == {"y"}
+
+
 def test_pool_without_another_answer_raises(spark):
     df = spark.createDataFrame([(1, "train", "x")], "row_id long, split string, good string")
     with pytest.raises(Exception, match="no other answer"):
