@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,25 @@ def build_session(app: str = "driftlens", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; Spark hands the archive to each of them.
+
+    Not needed where the package is installed on all nodes or given with --py-files.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        target = f"{tempfile.mkdtemp(prefix='driftlens-package-')}/{package.name}"
+        context.addPyFile(shutil.make_archive(target, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
