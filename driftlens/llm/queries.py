@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import table
+from driftlens.llm.language import identify
 from driftlens.llm.simhash import near_duplicates
 from driftlens.llm.token_counts import token_counts
+from driftlens.llm.toxicity import toxicity
 from driftlens.plans.registry import query
 
 
+@query("op2_language_id")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -19,3 +26,8 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_toxicity")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
