@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import table
 from driftlens.llm.language import identify
+from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
 from driftlens.plans.registry import query
 
 
+@query("op1_pii")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(table(spark, sf_dir, "documents"))
+
+
 @query("op2_language_id")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
