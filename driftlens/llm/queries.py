@@ -9,6 +9,7 @@ from driftlens.llm.common import table
 from driftlens.llm.language import identify
 from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
+from driftlens.llm.syncmers import fingerprint_edits
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
 from driftlens.plans.registry import query
@@ -34,6 +35,11 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op9_document_fingerprints")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op10_toxicity")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
