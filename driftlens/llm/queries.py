@@ -9,6 +9,7 @@ from driftlens.llm.common import table
 from driftlens.llm.language import identify
 from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
+from driftlens.llm.suffixes import removed
 from driftlens.llm.syncmers import fingerprint_edits
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
@@ -30,6 +31,11 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_suffix_array_dedup")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents"))
+
+
 @query("op7_token_counts")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
