@@ -11,8 +11,10 @@ from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
 from driftlens.llm.suffixes import removed
 from driftlens.llm.syncmers import fingerprint_edits
+from driftlens.llm.tiling import matches
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
+from driftlens.llm.url_rules import judge
 from driftlens.plans.registry import query
 
 
@@ -26,6 +28,11 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query("op4_benchmark_decontamination")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_simhash_near_dedup")
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,6 +48,11 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op8_url_filters")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_document_fingerprints")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
