@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import table
 from driftlens.llm.language import identify
+from driftlens.llm.mixing import WEIGHTS, language_and_quality, rated
 from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
 from driftlens.llm.suffixes import removed
@@ -28,6 +29,13 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@query("op3_source_mixing")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = language_and_quality(docs, table(spark, sf_dir, "labels"))
+    return rated(docs, labelled, WEIGHTS).select("doc_id", "n_tokens", "domain", "rate")
+
+
 @query("op4_benchmark_decontamination")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
