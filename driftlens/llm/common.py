@@ -8,6 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# A filter of keys has this many bits, whatever the data.
+FILTER_BITS = 1 << 26
 
 # Tasks work on blocks of texts of about this many bytes, whatever the rows are like.
 BLOCK_BYTES = 2 << 20
@@ -17,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of a thousand: with Spark's own ten thousand, a batch may hold more than a task's share of memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string")) % 3
@@ -61,3 +70,48 @@ def blocks(texts: list, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list]]:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def _with_guess(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """`name`: whether the key may be in the one column of `keys`, by a bit set of fixed size that Spark puts together."""
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    told = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)).alias("bit"))
+    told = told.selectExpr("bit div 64 AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS one")
+    told = told.groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[told["word"].to_numpy(np.int64)] = told["bits"].to_numpy(np.int64)
+    shipped = df.sparkSession.sparkContext.broadcast(bits)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in batches:
+            bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            on = pa.array(((bits[bit >> 6] >> (bit & 63)) & 1).astype(bool))
+            columns = [*batch.columns[:-1], on]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], name])
+
+    marked = df.withColumn(name, bit)
+    return marked.mapInArrow(look, T.StructType([*marked.schema.fields[:-1], T.StructField(name, T.BooleanType())]))
+
+
+def keep_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be in the one column of `keys`: all that are, and the few (or, with very many keys, most) that share a bit.
+
+    Put before a join, it keeps long rows without a partner from being shuffled.
+    """
+    return _with_guess(df, key, keys, "_likely").where("_likely").drop("_likely")
+
+
+def row_key() -> Column:
+    """A hash of a document's id and text; it tells documents with the same id (or none) apart."""
+    return F.xxhash64("doc_id", "text")
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents without those whose id and `row_key` are in `keys` (doc_id, key); rows are not moved, but for the few that share a bit with one."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), row_key().alias("_key"))
+    guessed = _with_guess(packed, "_key", keys.select("key"), "_likely")
+    sure = guessed.where(~F.col("_likely")).select("row.*")
+    other = keys.select("doc_id", "key")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    return sure.unionAll(guessed.where("_likely").join(other, same, "left_anti").select("row.*"))
