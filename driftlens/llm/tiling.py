@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import drop_rows, row_key
+from driftlens.session import materialize
+
 SHORTEST = 5
 COVERAGE = 0.8
 # Bytes of item texts per block (words and seeds of a block take about ten times as much in a task).
@@ -45,14 +48,14 @@ class Items:
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary
-        self.words = {item: np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64) for item, text in items}
-        found = [(seed_hashes(w), item) for item, w in self.words.items() if len(w) >= SHORTEST]
-        hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
-        owner = np.concatenate([np.full(len(h), i) for i, (h, _) in enumerate(found)]) if found else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.zeros(0, np.int64)
+        numbered = [(item, np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)) for item, text in items]
+        found = [(item, words, seed_hashes(words)) for item, words in numbered if len(words) >= SHORTEST]
+        self.names, self.words = [item for item, _, _ in found], [words for _, words, _ in found]
+        hashes = np.concatenate([h for _, _, h in found]) if found else np.zeros(0, np.uint64)
+        owner = np.concatenate([np.full(len(h), i) for i, (_, _, h) in enumerate(found)]) if found else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(h)) for _, _, h in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
-        self.names = [item for _, item in found]
 
     def coverages(self, text: str | None) -> list[tuple[int, float]]:
         """(item, coverage) of every item that shares a seed with the text."""
@@ -77,7 +80,7 @@ class Items:
         out = []
         for o in np.unique(owner).tolist():
             mine = owner == o
-            item = self.words[self.names[o]]
+            item = self.words[o]
             covered = tile(ids, item, place_in_text[mine], place[mine])
             if covered:
                 out.append((self.names[o], covered / len(item)))
@@ -113,15 +116,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     """doc_id, item_id, coverage for every document that holds at least this part of an item.
 
     Words are letters and digits in lower case, so punctuation, case and white space don't matter. NULL and empty texts, and items under
-    SHORTEST words, match nothing. Rows that repeat each give their pairs, items with equal ids count by their last text in
-    the block order. A NULL item_id is left out; a NULL doc_id stays. Other columns are not read.
+    SHORTEST words, match nothing. Rows that repeat each give their pairs, and items with equal ids
+    each count for themselves. A NULL item_id is left out; a NULL doc_id stays. Other columns are not read.
     """
+    return _matches(docs, benchmark, coverage).drop("key")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """As `matches`, with the document's key beside its id."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
     out = None
     for part in range(parts):
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()]
@@ -131,25 +140,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
             known = shipped.value
             for batch in batches:
                 found = [
-                    (doc, item, share)
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    (doc, key, item, share)
+                    for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)))
                     for item, share in known.coverages(text)
                     if share >= coverage
                 ]
-                columns = list(zip(*found)) if found else [[], [], []]
+                columns = list(zip(*found)) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "coverage"]
+                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "key", "item_id", "coverage"]
                 )
 
-        told = rows.mapInArrow(step, "doc_id long, item_id long, coverage double")
+        told = rows.mapInArrow(step, "doc_id long, key long, item_id long, coverage double")
         out = told if out is None else out.union(told)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents without those that `matches` finds, all columns kept. A NULL or repeated id is judged row by row with its text."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
-    judged = matches(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark, coverage)
-    found = judged.select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(found, "key", "left_anti").select("row.*")
+    return drop_rows(docs, materialize(_matches(docs, benchmark, coverage).select("doc_id", "key").distinct()))
