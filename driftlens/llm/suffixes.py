@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import map_batches
+from driftlens.llm.common import keep_likely, map_batches, text_batches
 from driftlens.llm.syncmers import mix
 from driftlens.session import materialize, scratch_path
 
 WIDTH = 200
 SEED = 40
 HOT = 200_000
-# A filter of text hashes keeps texts without candidates from being shuffled: this many bits, whatever the data.
-FILTER_BITS = 1 << 26
 # Bytes that are hashed at once, places of one piece (they fit the low bits of a key), suffixes that are sorted at once.
 BLOCK = 1 << 20
 PIECE = 1 << 22
@@ -137,27 +135,6 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("h1", "text"), step, "h1 long, first long, seed long")
 
 
-def _filtered(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose h1 may be among the keys: a bit set of fixed size, put together by Spark."""
-    words = FILTER_BITS // 64
-    bit = F.pmod(F.xxhash64("h1"), F.lit(FILTER_BITS))
-    told = keys.select(bit.alias("bit")).selectExpr("bit div 64 AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS one")
-    told = told.groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
-    bits = np.zeros(words, np.int64)
-    bits[told["word"].to_numpy(np.int64)] = told["bits"].to_numpy(np.int64)
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
-        for batch in batches:
-            bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            on = (bits[bit >> 6] >> (bit & 63)) & 1
-            yield batch.filter(pa.array(on.astype(bool)))
-
-    marked = docs.withColumn("bit", bit)
-    return marked.mapInArrow(keep, marked.schema).drop("bit")
-
-
 def _segments(candidates: DataFrame) -> DataFrame:
     """h1, h2, first, number (of windows), anchor, hot, segment: all candidate runs with their bytes."""
 
@@ -379,17 +356,9 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
 
 
-def repeats(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h1, h2, n_bytes, whole_sha256, copies per document; h1, h2, n_removed, n_spans, kept for texts that lose a part).
-
-    Texts of WIDTH bytes or more with copies lose everything; they are not in the second table.
-    """
-    spark = docs.sparkSession
-    rows = _hashed(docs)
-    whole = rows.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
-    whole = materialize(whole)
-    texts = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    seeds = materialize(_seeds(rows))
+def _wanted(rows: DataFrame, hot: int) -> DataFrame:
+    """h1, firsts, hots: the runs of each text whose seed stands elsewhere too. Seeds are computed twice, which is less than keeping them."""
+    seeds = _seeds(rows)
     place = F.xxhash64("h1", "first")
     several = (
         seeds.groupBy("seed")
@@ -397,18 +366,30 @@ def repeats(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
         .where("low <> high")
         .select("seed", (F.col("n") > hot).alias("hot"))
     )
-    wanted = (
+    return materialize(
         seeds.join(several, "seed")
         .select("h1", "first", "hot")
-        .distinct()
         .groupBy("h1")
-        .agg(F.collect_list(F.struct("first", "hot")).alias("wanted"))
+        .agg(F.collect_set(F.struct("first", "hot")).alias("wanted"))
         .select("h1", F.col("wanted.first").alias("firsts"), F.col("wanted.hot").alias("hots"))
     )
-    wanted = materialize(wanted)
+
+
+def repeats(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, n_bytes, whole_sha256, copies per document; h1, h2, n_removed, n_spans, kept for texts that lose a part).
+
+    Texts of WIDTH bytes or more with copies lose everything; they are not in the second table.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    rows = _hashed(docs)
+    whole = rows.select("doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
+    whole = materialize(whole)
+    texts = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    wanted = _wanted(rows, hot)
     # One document stands for a text with copies; of rows that repeat with their id, each does, which changes nothing.
     chosen = wanted.join(texts.drop("copies"), "h1").withColumnRenamed("doc_id", "chosen")
-    once = _filtered(rows, wanted.select("h1")).join(chosen.withColumnsRenamed({"h1": "c1", "h2": "c2"}), on=(
+    once = keep_likely(rows, "h1", wanted.select("h1")).join(chosen.withColumnsRenamed({"h1": "c1", "h2": "c2"}), on=(
         (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("chosen"))
     ))
     path = scratch_path(spark, "texts")
