@@ -115,18 +115,8 @@ class FunctionalIsolationForest(Scorer):
     def fit(self, reference: DataFrame) -> FunctionalIsolationForest:
         keyed = reference.select(*key_columns(reference), F.col(self.column).alias("curve"))
         firsts = keyed.where((F.col("seq_id") == 0) & (F.size("curve") > 0))
-        size, trees, seed, alpha = self.sample_size, self.n_trees, self.seed, self.alpha
-        # The lowest hashes make the sample. Hashes are even over 60 bits, so a bound six deviations above
-        # the wanted number leaves little more than the sample to be sorted, however long the input.
-        wanted = size * trees
-        share = min(1.0, (wanted + 6 * math.sqrt(wanted) + 10) / max(1, firsts.count()))
-        hashed = firsts.withColumn("_h", hash_key(seed, F.col("sample_id")))
-        drawn = hashed.where(F.col("_h") <= int(share * (2**60 - 1))).orderBy("_h", "sample_id").limit(wanted)
-        coefficients = F.arrow_udf(curve_coefficients, "array<double>")
-        pool = materialize(drawn.select("sample_id", coefficients(F.col("curve")).alias("x")))
-        dealt = pool.select("sample_id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        order = W.partitionBy("tree").orderBy(hash_key(seed, F.col("tree"), F.col("sample_id")), "sample_id")
-        samples = dealt.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
+        size, seed, alpha = self.sample_size, self.seed, self.alpha
+        samples = self._samples(firsts)
         depth = math.ceil(math.log2(max(2, size)))
 
         def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
@@ -151,10 +141,32 @@ class FunctionalIsolationForest(Scorer):
             )
             for nodes in forest.values()
         ]
-        norm = average_path(min(size, pool.count()))
+        norm = average_path(min(size, firsts.count()))
         self.shared = reference.sparkSession.sparkContext.broadcast((packed, depth, norm or 1.0))
         return self
 
+    def _samples(self, firsts: DataFrame) -> DataFrame:
+        """tree, x, _rn: for each tree the curves with the least hashes of all.
+
+        Hashes are even over 60 bits, so a bound six deviations above the wanted number leaves little more than the samples to be
+        reduced and sorted; it is widened until every tree has enough.
+        """
+        total, size, trees = firsts.count(), self.sample_size, self.n_trees
+        dealt = firsts.select("sample_id", "curve", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        hashed = dealt.withColumn("_h", hash_key(self.seed, F.col("tree"), F.col("sample_id")))
+        coefficients = F.arrow_udf(curve_coefficients, "array<double>")
+        bound = size + 6 * math.sqrt(size) + 10
+        while True:
+            share = min(1.0, bound / max(1, total))
+            drawn = hashed.where(F.col("_h") <= int(share * (2**60 - 1)))
+            pool = materialize(drawn.select("tree", "sample_id", "_h", coefficients(F.col("curve")).alias("x")))
+            counts = [r["count"] for r in pool.groupBy("tree").count().collect()]
+            if share >= 1 or (len(counts) == trees and min(counts) >= min(size, total)):
+                break
+            bound *= 2
+        order = W.partitionBy("tree").orderBy("_h", "sample_id")
+        return pool.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size).select("tree", "x", "_rn")
+
     def score_map(self, outputs: DataFrame) -> Column:
         return F.create_map(F.lit(self.score_names[0]), self._oddness())
 

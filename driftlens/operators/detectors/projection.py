@@ -102,7 +102,11 @@ class CosineProjection(Scorer):
 
 
 def _mean_of_nearest(n: int) -> Column:
-    return let(F.slice("scores", 1, n), lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
+    """NULL where there is no other to compare with."""
+    return let(
+        F.slice("scores", 1, n),
+        lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s)),
+    )
 
 
 class InformationProjection(Scorer):
@@ -188,8 +192,7 @@ class BeamRenyiProjection(Scorer):
         names = F.array(*[F.array(*[F.lit(label("beam_projection", temperature=t, alpha=a, n_neighbors=n)) for n in self.n_neighbors]) for t, a in grid])
         means = F.array(*[_mean_of_nearest(n) for n in self.n_neighbors])
         return (
-            found.where(F.size("scores") > 0)
-            .withColumn("_named", F.arrays_zip(F.element_at(names, F.col("grid") + 1).alias("n"), means.alias("m")))
+            found.withColumn("_named", F.arrays_zip(F.element_at(names, F.col("grid") + 1).alias("n"), means.alias("m")))
             .select(*KEYS, F.explode("_named").alias("_s"))
             .select(*KEYS, F.col("_s.n").alias("detector"), F.col("_s.m").alias("score"))
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.hashing import hash_key
 from driftlens.operators.ordering import HASH_SHIFT, running_total
-from driftlens.session import BROADCAST_ROWS, materialize
+from driftlens.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize
 
 SLOT = 10_000  # pool places per slot when answers are found by a shuffle
 
@@ -48,16 +48,21 @@ def random_negative(
     one split whose pool serves all rows.
     """
     places = materialize(_places(pool))
-    sizes = places.groupBy("split").agg(F.sum("n").alias("_size"), F.count("*").alias("_answers"))
+    sizes = places.groupBy("split").agg(
+        F.sum("n").alias("_size"), F.count("*").alias("_answers"), F.sum(F.octet_length("answer")).alias("_bytes")
+    )
     known = {row["split"]: row for row in sizes.collect()}
     rows = df.withColumn("_split", F.lit(pool_split) if pool_split else F.col("split"))
     size = F.coalesce(*[F.when(F.col("_split") == s, F.lit(r["_size"])) for s, r in known.items()], F.lit(0))
-    small = sum(r["_answers"] for r in known.values()) <= max_broadcast
+    small = (
+        sum(r["_answers"] for r in known.values()) <= max_broadcast
+        and sum(r["_bytes"] or 0 for r in known.values()) <= BROADCAST_BYTES
+    )
 
     own = places.select(
         F.col("split").alias("_split"), F.col("answer").alias(good), F.col("n").alias("_n"), F.col("start").alias("_start")
     )
-    met = rows.join(F.broadcast(own), ["_split", good], "left") if small else _own_runs(rows, own, size, good, row_id)
+    met = rows.join(F.broadcast(own), ["_split", good], "left") if small else _own_runs(rows, own, good, row_id)
     drawn = (
         met.withColumn("_free", size - F.coalesce("_n", F.lit(0)))
         .withColumn(
@@ -77,30 +82,35 @@ def random_negative(
     return _by_slots(drawn, places, known, df.columns, out, slot, row_id)
 
 
-def _own_runs(rows: DataFrame, own: DataFrame, size: Column, good: str, row_id: str) -> DataFrame:
+def _own_runs(rows: DataFrame, own: DataFrame, good: str, row_id: str) -> DataFrame:
     """Each row with the run of its right answer, for pools too large to broadcast.
 
-    Answers with a thousandth of a pool's copies, at most a thousand per split, are broadcast. Their rows
-    and those without an answer enter the shuffled join of the others under a key of their own, so no task
+    Answers that are right for a thousandth of the rows or more (so at most a thousand) are broadcast, if they are no longer than that
+    allows. Their rows and those without an answer enter the shuffled join of the others under a key of their own, so no task
     gets all rows of one answer.
     """
-    hot = own.where(F.col("_n") * 1_000 >= size).select(
-        "_split", good, F.col("_n").alias("_hot_n"), F.col("_start").alias("_hot_start")
-    )
-    cold = own.where(F.col("_n") * 1_000 < size).select(
-        "_split", F.col(good).alias("_key"), F.lit(True).alias("_cold"), "_n", "_start"
+    asked = rows.where(F.col(good).isNotNull()).groupBy("_split", good).agg(F.count("*").alias("_asked"))
+    often = asked.where(F.col("_asked") * 1_000 >= rows.count()).drop("_asked")
+    hot = own.join(often, ["_split", good]).select(
+        "_split", good, F.col("_n").alias("_hot_n"), F.col("_start").alias("_hot_start"), F.lit(True).alias("_hot")
     )
-    tagged = rows.join(F.broadcast(hot), ["_split", good], "left")
-    tagged = tagged.withColumn("_cold", F.col("_hot_n").isNull() & F.col(good).isNotNull())
+    tagged = rows.join(broadcast_if_small(hot), ["_split", good], "left")
+    tagged = tagged.withColumn("_cold", F.col("_hot").isNull() & F.col(good).isNotNull())
     keyed = tagged.withColumn("_key", F.when(F.col("_cold"), F.col(good)).otherwise(F.col(row_id).cast("string")))
+    cold = own.select("_split", F.col(good).alias("_key"), F.lit(True).alias("_cold"), "_n", "_start")
     met = keyed.join(cold, ["_split", "_key", "_cold"], "left")
     return met.withColumns({"_n": F.coalesce("_hot_n", "_n"), "_start": F.coalesce("_hot_start", "_start")})
 
 
+def _whole(x: Column, width: Column) -> Column:
+    """Division of non-negative longs without a detour over doubles."""
+    return F.call_function("div", x, width.cast("long"))
+
+
 def _slotted(places: DataFrame, width: Column) -> DataFrame:
     """One row per (answer run, slot it reaches into)."""
-    first = F.floor(F.col("start") / width)
-    final = F.floor((F.col("start") + F.col("n") - 1) / width)
+    first = _whole(F.col("start"), width)
+    final = _whole(F.col("start") + F.col("n") - 1, width)
     return places.select(
         F.col("split").alias("_split"),
         F.col("answer").alias("_answer"),
@@ -114,7 +124,7 @@ def _by_broadcast(drawn, places, known, columns, out) -> DataFrame:
     """Few distinct answers: a hash join on narrow slots, rows stay where they are."""
     width = F.lit(max(1, max((r["_size"] for r in known.values()), default=1) // 65_536))
     runs = _slotted(places, width)
-    probe = drawn.withColumn("_slot", F.floor(F.col("_place") / width))
+    probe = drawn.withColumn("_slot", _whole(F.col("_place"), width))
     hit = (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))
     return (
         probe.join(F.broadcast(runs.withColumnsRenamed({"_split": "_s", "_slot": "_t"})),
@@ -137,7 +147,7 @@ def _by_slots(drawn, places, known, columns, out, slot, row_id) -> DataFrame:
         F.lit(None).cast(drawn.select(F.struct(*columns).alias("r")).schema["r"].dataType).alias("_row"),
     )
     asks = drawn.select(
-        "_split", F.floor(F.col("_place") / width).alias("_slot"),
+        "_split", _whole(F.col("_place"), width).alias("_slot"),
         F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts).cast("long")).alias("_salt"),
         "_place", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_answer"), F.struct(*columns).alias("_row"),
     )

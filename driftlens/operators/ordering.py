@@ -38,17 +38,24 @@ def keys_at_ranks(
     ranks: Callable[[int], Iterable[int]] | Iterable[int],
     leaf_rows: int = LEAF_ROWS,
     fan_out: int = FAN_OUT,
+    skip_missing: bool = False,
 ) -> tuple[int, dict[int, object]]:
     """(row count, {zero-based rank: key at that rank in ascending order}).
 
+    A NULL or NaN key has no place in the order and raises, unless such rows are to be skipped.
+
     Ranks outside the table are left out. ``ranks`` may be a function of the row count. Exact for any
     numeric key: each round splits the buckets that hold a wanted rank at sampled quantiles (each
     splitter gets a bucket of its own, so one value may fill any share of the table) and recounts.
     """
     keys = df.select(F.col(key).alias("k"), (F.col(key).cast("double") + F.lit(0.0)).alias("d"))
-    keys = keys.where(F.col("k").isNotNull() & ~F.isnan("d"))
+    placed = F.col("k").isNotNull() & ~F.isnan("d")
+    kept = F.when(placed, F.col("k"))
+    every, n, low, high = keys.agg(F.count("*"), F.count(kept), F.min(kept), F.max(kept)).first()
+    if n < every and not skip_missing:
+        raise ValueError(f"{every - n} rows have no {key}")
+    keys = keys.where(placed)
     edges = [-math.inf, math.inf]
-    n, low, high = keys.agg(F.count("k"), F.min("k"), F.max("k")).first()
     wanted = sorted({r for r in (ranks(n) if callable(ranks) else ranks) if 0 <= r < n})
     if not wanted:
         return n, {}
@@ -122,7 +129,7 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     def neighbours(n: int) -> list[int]:
         return [r for q in shares for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))]
 
-    n, found = keys_at_ranks(df, column, neighbours)
+    n, found = keys_at_ranks(df, column, neighbours, skip_missing=True)
     if n == 0:
         return [None] * len(shares)
     result = []

@@ -17,7 +17,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT conv_id * 100 + turn AS row_id, text AS aa, nxt AS bb
         FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
-        WHERE role = 'user' AND nxt IS NOT NULL""",
+        WHERE nxt IS NOT NULL""",
     ),
     "fx_choice": (
         (),
@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         r"""SELECT conv_id * 100 + turn AS sample_id, s.seq_id::INT AS seq_id, text AS ref,
         array_to_string(list_filter(regexp_split_to_array(text, '\s+'),
           lambda w, i: substr(md5(concat_ws(':', s.seq_id, conv_id, turn, i - 1)), 1, 8) >= '33333333'), ' ') AS hyp
-        FROM conversations, (SELECT unnest(range(4)) AS seq_id) s WHERE role = 'assistant'""",
+        FROM conversations, (SELECT unnest(range(4)) AS seq_id) s""",
     ),
     "fx_token_scores": (
         (),

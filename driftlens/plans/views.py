@@ -59,11 +59,11 @@ def dialog_arrays(spark, sf_dir) -> DataFrame:
 
 
 def translations(spark, sf_dir) -> DataFrame:
-    """A user turn and the turn after it as a two-language map."""
+    """A turn and the turn after it as a two-language map."""
     after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
     return (
         table(spark, sf_dir, "conversations").withColumn("nxt", after)
-        .where((F.col("role") == "user") & F.col("nxt").isNotNull())
+        .where(F.col("nxt").isNotNull())
         .select(
             (F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
             F.create_map(F.lit("aa"), F.col("text"), F.lit("bb"), F.col("nxt")).alias("translation"),
@@ -157,8 +157,8 @@ def beams(spark, sf_dir) -> DataFrame:
 
 
 def hypotheses(spark, sf_dir) -> DataFrame:
-    """Four candidate texts per assistant turn, words dropped by a seeded hash."""
-    turns = spread(table(spark, sf_dir, "conversations")).where(F.col("role") == "assistant")
+    """Four candidate texts per turn, words dropped by a seeded hash."""
+    turns = spread(table(spark, sf_dir, "conversations"))
     split = F.split("text", r"\s+")
     kept = F.filter(
         split, lambda w, i: F.substring(hash_hex(F.col("seq_id"), F.col("conv_id"), F.col("turn"), i), 1, 8) >= "33333333"

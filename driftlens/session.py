@@ -21,8 +21,9 @@ CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
-# A small side is broadcast only up to this many rows (rows hold a few numbers or short strings).
+# A small side is broadcast only up to this many rows and bytes (of its rows as JSON).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "driftlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,12 +71,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores (few or small files) is dealt out once.
+    """A scan of fewer files than the cluster has cores is dealt out once; it may have more splits, but few of them hold rows.
 
-    A large input has more splits than cores and stays as it is.
+    A large input has more files than cores and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    files = len(df.inputFiles())
+    filled = files if files else df.rdd.getNumPartitions()
+    return df.repartition(cores) if filled < cores else df
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -93,6 +96,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side after counting it; a larger one stays a shuffled (skew-splittable) join side."""
+    """Broadcast a side after counting its rows and bytes; a larger one stays a shuffled (skew-splittable) join side."""
     small = materialize(df)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, content = small.agg(F.count("*"), size).first()
+    return F.broadcast(small) if rows <= max_rows and content <= BROADCAST_BYTES else small

@@ -27,18 +27,25 @@ def read_corpus(
     config: str | None = None,
     splits: Sequence[str] = SPLITS,
     layout: Layout | None = None,
+    optional: Sequence[str] = (),
 ) -> DataFrame:
-    """All splits of a corpus in one frame with a ``split`` column; a split that is not there has no rows."""
+    """All splits of a corpus in one frame with a ``split`` column.
+
+    A split that is not there raises, unless it is ``optional``; then it has no rows.
+    """
     locate = layout or _layout(root, name, config)
-    found = []
+    found, missing = [], []
     for split in splits:
         try:
             found.append(read_saved(spark, locate(split)).withColumn("split", F.lit(split)))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            missing.append(split)
     if not found:
         raise ValueError(f"corpus {name} has none of the splits {list(splits)} at {locate('*')}")
+    if lost := [split for split in missing if split not in optional]:
+        raise FileNotFoundError(f"corpus {name} lacks the splits {lost} at {locate('*')}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 

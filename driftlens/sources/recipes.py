@@ -161,7 +161,6 @@ RECIPES: dict[str, list[Piece]] = {
         Piece("train", "train", None, -1500), Piece("validation", "validation", None, 1500), Piece("validation", "train", -1500), Piece("test", "validation", 1500),
     ],
 }
-MAX_TURNS = 2**20  # dialog turns or questions per row in an order key
 
 
 class Store:
@@ -217,7 +216,7 @@ def _news_groups(store: Store, name: str) -> DataFrame:
     subsets = [store.read("newsgroup", subset, ("train",)) for subset in NEWS_GROUPS]
     rows = A.label_by_subset([A.rename_fields(s, text_scr="text") for s in subsets])
     # Row ids are unique per subset; with the label in front they are unique over the union.
-    unique = rows.withColumn("row_id", F.col("label") * F.lit(2**40) + F.col("row_id"))
+    unique = rows.withColumn("row_id", _pair_key(F.col("label"), F.col("row_id")))
     return split_stratified(unique, "label", (0.8, 0.1), store.seed, order_key=True)
 
 
@@ -320,9 +319,14 @@ def load_classification(
 # --- source/target pairs -------------------------------------------------------------------------
 
 
+def _pair_key(first: Column, second: Column) -> Column:
+    """One number in the order of two non-negative longs, whatever their size: both fit a 38-digit decimal side by side."""
+    return first.cast("decimal(38,0)") * F.lit(2**62).cast("decimal(19,0)") + second.cast("decimal(19,0)")
+
+
 def _steps(df: DataFrame, step: str) -> DataFrame:
     """Several rows per stored row: their order is (row_id, step)."""
-    return df.withColumn("order_key", F.col("row_id") * MAX_TURNS + F.col(step))
+    return df.withColumn("order_key", _pair_key(F.col("row_id"), F.col(step)))
 
 
 def _is_answerable(config: str, name: str) -> bool:

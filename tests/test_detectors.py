@@ -74,9 +74,27 @@ def test_beam_projection_in_blocks(points):
     assert min(got.values()) >= -1e-12
 
 
-def test_a_sample_with_one_sequence_has_no_projection(spark):
-    df = spark.createDataFrame([(1, 0, [0.0, 1.0])], "sample_id long, seq_id int, logits array<double>")
-    assert D.BeamRenyiProjection().transform(df).count() == 0
+def test_a_sample_with_one_sequence_has_a_null_projection(spark):
+    df = spark.createDataFrame([(1, 0, [0.0, 1.0]), (2, 0, [0.0, 1.0]), (2, 1, [1.0, 0.0])], "sample_id long, seq_id int, logits array<double>")
+    told = D.BeamRenyiProjection().transform(df).collect()
+    assert {(r.sample_id, r.score is None) for r in told} == {(1, True), (2, False)}
+
+
+def test_trees_draw_from_all_curves(spark):
+    curves = spark.range(5000).selectExpr("id AS sample_id", "0 AS seq_id", "transform(sequence(1, 4), k -> cast(id * k AS double)) AS token_scores")
+    forest = D.FunctionalIsolationForest(n_trees=4, sample_size=16)
+    drawn = forest._samples(curves.withColumnRenamed("token_scores", "curve"))
+    by_tree = {r.tree: r.n for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()}
+    assert by_tree == {k: 16 for k in range(4)}
+    from driftlens.functions.hashing import hash_key
+
+    for tree in range(4):
+        least = [r.sample_id for r in curves.orderBy(hash_key(42, F.lit(tree), F.col("sample_id"))).limit(16).collect()]
+        x = {tuple(r.x) for r in drawn.where(F.col("tree") == tree).collect()}
+        from driftlens.operators.detectors.forest import curve_coefficients
+
+        same = curves.where(F.col("sample_id").isin(least)).select(F.arrow_udf(curve_coefficients, "array<double>")(F.col("token_scores")).alias("x"))
+        assert x == {tuple(r.x) for r in same.collect()}
 
 
 def test_divergences_from_uniform(spark):

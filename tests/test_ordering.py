@@ -107,3 +107,10 @@ def test_stratified_sizes_with_a_hot_and_a_null_group(spark):
     for g, n in totals.items():
         train, val = int(0.8 * n), int(0.1 * n)
         assert (counts.get((g, "train"), 0), counts.get((g, "validation"), 0), counts.get((g, "test"), 0)) == (train, val, n - train - val)
+
+
+def test_a_row_without_a_key_raises(spark):
+    rows = spark.createDataFrame([(i,) for i in range(8)] + [(None,), (None,)], "row_id long")
+    for start, stop in ((0, 9), (2, 5), (None, -1)):
+        with pytest.raises(ValueError, match="2 rows have no row_id"):
+            splits.slice_rows(rows, start, stop)

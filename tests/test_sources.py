@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.operators import perturb
+from driftlens.operators.splits import cap
 from driftlens.sources import corpus, records, recipes
 from driftlens.sources.recipes import CLASSIFICATION, GENERATION, Store, load_classification, load_config, load_generation
 
@@ -219,8 +220,18 @@ def test_unknown_names_and_configurations(store):
     assert all(name in GENERATION for name, _ in recipes.GENERATION_CONFIGS.values())
 
 
-def test_missing_split_has_no_rows(store):
-    assert sizes(corpus.read_corpus(store.spark, store.root, "billsum")) == {"train": N, "test": N}
+def test_missing_split_raises_unless_it_is_optional(store):
+    with pytest.raises(FileNotFoundError, match="validation"):
+        corpus.read_corpus(store.spark, store.root, "billsum")
+    read = corpus.read_corpus(store.spark, store.root, "billsum", optional=("validation",))
+    assert sizes(read) == {"train": N, "test": N}
+
+
+def test_order_keys_hold_any_row_id_and_step(spark):
+    rows = [(2**43 + 5, 2**20 + 7), (2**43 + 5, 3), (2**43 + 6, 0), (2**62, 2**61), (0, 2**40)]
+    steps = recipes._steps(spark.createDataFrame(rows, "row_id long, turn long"), "turn")
+    assert [(r.row_id, r.turn) for r in steps.orderBy("order_key").collect()] == sorted(rows)
+    assert [(r.row_id, r.turn) for r in cap(steps, 3).collect()] and {(r.row_id, r.turn) for r in cap(steps, 3).collect()} == set(sorted(rows)[:3])
 
 
 def test_ingest_reports_failures(store, tmp_path):
