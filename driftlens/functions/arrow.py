@@ -15,6 +15,11 @@ def numbers(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
+def numbers_of(values: pa.Array) -> np.ndarray:
+    """Equal values get equal numbers from 0 on."""
+    return pc.dictionary_encode(values).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def matrix(lists: pa.Array) -> np.ndarray:
     """Equally long vectors as rows of one matrix."""
     if isinstance(lists, pa.ChunkedArray):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftlens.functions.vectors import let
+from driftlens.functions.arrow import lengths, lists_of, numbers_of
 
 # White space as Python's str.split() sees it.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -44,34 +46,37 @@ def rouge_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def longer_ngrams(grams: Column, tokens: Column, n: int) -> Column:
-    """n-grams from the (n-1)-grams of the same tokens."""
-    room = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
-    return F.zip_with(
-        F.slice(grams, F.lit(1), room),
-        F.slice(tokens, F.lit(n), room),
-        lambda head, last: F.concat(head, F.lit(" "), last),
-    )
-
-
-def shared_count(first: Column, second: Column) -> Column:
-    """Size of the multiset intersection of two arrays: one walk along both in sorted order."""
-
-    def walk(sides: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            a, b = F.get(sides["a"], at["i"]), F.get(sides["b"], at["j"])
-
-            def move(i: int, j: int) -> Column:
-                return F.struct(
-                    (at["i"] + i).alias("i"), (at["j"] + j).alias("j"), (at["hits"] + i * j).alias("hits")
-                )
-
-            return F.when(a == b, move(1, 1)).when(a < b, move(1, 0)).otherwise(move(0, 1))
-
-        zero = F.lit(0)
-        start = F.struct(zero.alias("i"), zero.alias("j"), zero.alias("hits"))
-        # Past the end of one side there is nothing to compare, and the hits stay.
-        moves = F.array_repeat(F.lit(0), F.size(sides["a"]) + F.size(sides["b"]))
-        return F.aggregate(moves, start, step)["hits"]
-
-    return let(F.struct(F.sort_array(first).alias("a"), F.sort_array(second).alias("b")), walk)
+def _ngram_numbers(tokens: np.ndarray, sizes: np.ndarray, n_max: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 ... n_max: (row, number) of every n-gram; equal n-grams have equal numbers, whatever their row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))  # tokens from here to the row's end
+    kinds = int(tokens.max()) + 1 if len(tokens) else 1
+    at, number = np.arange(len(tokens)), tokens
+    out = [(row, number)]
+    for n in range(2, n_max + 1):
+        still = left[at] >= n
+        at, number = at[still], number[still]
+        _, number = np.unique(number * kinds + tokens[at + n - 1], return_inverse=True)
+        out.append((row[at], number))
+    return out
+
+
+def shared_ngrams(first: Column, second: Column, n_max: int) -> Column:
+    """Sizes of the multiset intersections of two token arrays' n-grams, n = 1 ... n_max, all rows of a batch at once."""
+
+    def count(one: pa.Array, other: pa.Array) -> pa.Array:
+        sizes = np.concatenate([lengths(one), lengths(other)])
+        tokens = pa.concat_arrays([one.flatten(), other.flatten()])
+        codes = numbers_of(tokens)
+        rows = len(one)
+        out = np.zeros((rows, n_max), np.int64)
+        for n, (row, number) in enumerate(_ngram_numbers(codes, sizes, n_max)):
+            kinds = int(number.max()) + 1 if len(number) else 1
+            mine = row < rows
+            a, in_a = np.unique(row[mine] * kinds + number[mine], return_counts=True)
+            b, in_b = np.unique((row[~mine] - rows) * kinds + number[~mine], return_counts=True)
+            both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            out[:, n] = np.bincount(both // kinds, np.minimum(in_a[at_a], in_b[at_b]), rows)
+        return lists_of(out)
+
+    return F.arrow_udf(count, "array<long>")(first, second)

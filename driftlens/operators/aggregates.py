@@ -23,20 +23,21 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def idf(df: DataFrame, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+def idf(df: DataFrame, text: str = "text", also: DataFrame | None = None) -> DataFrame:
     """(token, df, idf, weight): ln((N+1)/(df+1)) over the vocabulary, and its share of the sum.
 
-    Without a vocabulary the tokens seen are the vocabulary.
+    The vocabulary is the tokens seen, and those of the texts in ``also``, which count for nothing else. Texts are read once.
     """
+    texts = df.select(F.col(text).alias("_text"), F.lit(1).alias("_counts"))
+    if also is not None:
+        texts = texts.unionAll(also.select(F.col(text).alias("_text"), F.lit(0).alias("_counts")))
     counts = (
-        df.select(F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
+        texts.select("_counts", F.explode(F.array_distinct(words(F.col("_text")))).alias("token"))
         .groupBy("token")
-        .agg(F.count("*").alias("df"))
+        .agg(F.sum("_counts").alias("df"))
     )
-    if vocabulary is not None:
-        counts = vocabulary.select("token").distinct().join(counts, "token", "left").fillna(0, ["df"])
-    n = df.agg(F.count("*")).scalar()
-    weighted = materialize(counts.withColumn("idf", F.log((n + 1) / (F.col("df") + 1))))
+    n = df.count()
+    weighted = materialize(counts.withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1))))
     return weighted.withColumn("weight", F.col("idf") / weighted.agg(F.sum("idf")).scalar())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.lcs import rouge_l as lcs_rouge
 from driftlens.functions.lcs import rouge_lsum as lcs_rouge_sum
-from driftlens.functions.text import longer_ngrams, mteval_words, rouge_words, shared_count
+from driftlens.functions.text import mteval_words, rouge_words, shared_ngrams
 from driftlens.operators import pairing
 from driftlens.operators.detectors.projection import cosine
 from driftlens.session import broadcast_if_small, dealt
@@ -31,17 +31,13 @@ def ngram_overlap(
 
     All within the row, so no n-gram is shuffled and a pair of any length stays where it was read.
     """
-    grams = pairs.select(*keys, tokenizer(F.col(hyp)).alias("_h1"), tokenizer(F.col(ref)).alias("_r1"))
-    # One projection per order: longer n-grams are built on the shorter ones instead of anew.
-    for n in range(2, max_n + 1):
-        grams = grams.withColumns(
-            {f"_{s}{n}": longer_ngrams(F.col(f"_{s}{n - 1}"), F.col(f"_{s}1"), n) for s in ("h", "r")}
-        )
-    return grams.select(
+    tokens = pairs.select(*keys, tokenizer(F.col(hyp)).alias("_h"), tokenizer(F.col(ref)).alias("_r"))
+    counted = tokens.withColumn("_shared", shared_ngrams(F.col("_h"), F.col("_r"), max_n))
+    return counted.select(
         *keys,
-        F.size("_h1").alias("hyp_len"),
-        F.size("_r1").alias("ref_len"),
-        *[shared_count(F.col(f"_h{n}"), F.col(f"_r{n}")).alias(f"match_{n}") for n in range(1, max_n + 1)],
+        F.size("_h").alias("hyp_len"),
+        F.size("_r").alias("ref_len"),
+        *[F.col("_shared")[n - 1].alias(f"match_{n}") for n in range(1, max_n + 1)],
     )
 
 

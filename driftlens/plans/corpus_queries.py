@@ -560,19 +560,16 @@ def agg_split_sizes(spark, sf_dir):
 
 @query(
     "agg_idf",
-    r"""WITH docs AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS t FROM documents),
-    bench AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS token FROM benchmark),
-    seen AS (SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM docs) GROUP BY token),
-    vocab AS (SELECT token FROM bench UNION SELECT token FROM seen),
-    f AS (SELECT v.token, coalesce(s.df, 0) AS df, ln(((SELECT count(*) FROM docs) + 1) / (coalesce(s.df, 0) + 1)) AS idf
-      FROM vocab v LEFT JOIN seen s USING (token))
-    SELECT token, df, round(idf, 9) AS idf, round(idf / (SELECT sum(idf) FROM f), 12) AS weight FROM f""",
+    r"""WITH tagged AS (SELECT text, 1 AS counts FROM documents UNION ALL SELECT text, 0 FROM benchmark),
+    told AS (SELECT counts, unnest(list_distinct(regexp_split_to_array(text, '\s+'))) AS token FROM tagged),
+    seen AS (SELECT token, sum(counts)::BIGINT AS df FROM told WHERE token <> '' GROUP BY token),
+    f AS MATERIALIZED (SELECT token, df, ln((n + 1) / (df + 1)) AS idf FROM seen, (SELECT count(*) AS n FROM documents)),
+    whole AS (SELECT sum(idf) AS total FROM f)
+    SELECT token, df, round(idf, 9) AS idf, round(idf / total, 12) AS weight FROM f, whole""",
 )
 def agg_idf(spark, sf_dir):
     docs = V.texts(spark, sf_dir).select("text")
-    seen = docs.union(V.table(spark, sf_dir, "benchmark").select("text"))
-    vocabulary = seen.select(F.explode(F.array_distinct(aggregates.words(F.col("text")))).alias("token")).distinct()
-    weights = aggregates.idf(docs, "text", vocabulary)
+    weights = aggregates.idf(docs, "text", V.table(spark, sf_dir, "benchmark").select("text"))
     return weights.select("token", "df", F.round("idf", 9).alias("idf"), F.round("weight", 12).alias("weight"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.functions.lcs import lcs_length, lcs_places, summary_hits
-from driftlens.functions.text import rouge_words, shared_count, words
+from driftlens.functions.text import rouge_words, shared_ngrams, words
 from driftlens.operators import adapters, aggregates, dialog, metrics, perturb
 from driftlens.operators.negatives import answer_pool, random_negative
 
@@ -88,7 +88,7 @@ def test_adapters_raise_on_unknown_values(spark):
 
 def test_idf_sums_to_one(spark):
     df = spark.createDataFrame([("a b b",), ("a c",)], "text string")
-    rows = {r["token"]: r for r in aggregates.idf(df, vocabulary=spark.createDataFrame([(t,) for t in "abcd"], "token string")).collect()}
+    rows = {r["token"]: r for r in aggregates.idf(df, also=spark.createDataFrame([("a b d",), ("c",)], "text string")).collect()}
     assert abs(sum(r["weight"] for r in rows.values()) - 1) < 1e-12
     assert rows["a"]["df"] == 2 and rows["d"]["df"] == 0 and rows["a"]["idf"] == 0.0
 
@@ -133,12 +133,18 @@ def test_union_lcs_example():
     assert summary_hits([["w1", "w2", "w3", "w4", "w5"]], [["w1", "w2", "w6", "w7", "w8"], ["w1", "w3", "w8", "w9", "w5"]]) == 4
 
 
-def test_shared_count_is_a_multiset_intersection(spark):
+def test_shared_ngrams_are_multiset_intersections(spark):
     rng = random.Random(7)
     rows = [([rng.choice("abcde") for _ in range(rng.randrange(9))], [rng.choice("abcde") for _ in range(rng.randrange(9))]) for _ in range(60)]
-    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    for r in df.select("a", "b", shared_count(F.col("a"), F.col("b")).alias("n")).collect():
-        assert r["n"] == sum((Counter(r["a"]) & Counter(r["b"])).values())
+    rows += [([], []), (None, ["a"]), (["a"] * 9, ["a"] * 7)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").repartition(2)
+
+    def grams(tokens, n):
+        return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+
+    for r in df.select("a", "b", shared_ngrams(F.col("a"), F.col("b"), 4).alias("n")).collect():
+        a, b = r["a"] or [], r["b"] or []
+        assert r["n"] == [sum((grams(a, n) & grams(b, n)).values()) for n in range(1, 5)]
 
 
 PAIRS = [(0, 0, "the cat sat on the mat", "the cat sat on the mat"), (1, 0, "a b", "c d e f"), (2, 0, "", "x y"), (3, 0, "the the the", "the cat")]
