@@ -107,65 +107,90 @@ class FunctionalIsolationForest(Scorer):
     """Trees on seeded 32-curve samples of the first sequence of each reference sample; higher = odder."""
 
     def __init__(
-        self, n_trees: int = 50, sample_size: int = 32, alpha: float = 0.9, seed: int = 42, column: str = "token_scores"
+        self,
+        n_trees: int = 50,
+        sample_size: int = 32,
+        alpha: float = 0.9,
+        seed: int = 42,
+        column: str = "token_scores",
+        by: str | None = None,
     ):
-        self.n_trees, self.sample_size, self.alpha, self.seed, self.column = n_trees, sample_size, alpha, seed, column
+        """With ``by``, each of its values (a detector's key, say) has a forest of its own; all are fitted and used in the same passes."""
+        self.n_trees, self.sample_size, self.alpha, self.seed, self.column, self.by = n_trees, sample_size, alpha, seed, column, by
         self.score_names = (f"fif_{column}",)
 
+    def _key(self) -> Column:
+        return F.col(self.by).cast("string") if self.by else F.lit("")
+
     def fit(self, reference: DataFrame) -> FunctionalIsolationForest:
-        keyed = reference.select(*key_columns(reference), F.col(self.column).alias("curve"))
-        firsts = keyed.where((F.col("seq_id") == 0) & (F.size("curve") > 0))
+        keyed = reference.select(*key_columns(reference), self._key().alias("key"), F.col(self.column).alias("curve"))
+        firsts = keyed.where((F.col("seq_id") == 0) & (F.size("curve") > 0) & F.col("key").isNotNull())
         size, seed, alpha = self.sample_size, self.seed, self.alpha
-        samples = self._samples(firsts)
+        totals = {r["key"]: r["count"] for r in firsts.groupBy("key").count().collect()}
         depth = math.ceil(math.log2(max(2, size)))
 
         def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-            tree = int(key[0])
+            tree = int(key[1])
             rows = np.stack(sample.sort_values("_rn")["x"].to_numpy())
             scale = [max(np.linalg.norm(part, axis=1).mean(), 1e-12) for part in np.split(rows, 2, axis=1)]
             nodes = _flatten(grow_tree(rows, np.random.default_rng(_seed(seed, tree)), alpha, depth, np.array(scale)))
             table = pd.DataFrame(nodes, columns=["weights", "value", "low", "high"])
-            return table.assign(tree=tree, node=range(len(nodes)))
-
-        schema = "weights array<double>, value double, low int, high int, tree int, node int"
-        grown = samples.groupBy("tree").applyInPandas(grow, schema).collect()
-        forest: dict = {}
-        for row in sorted(grown, key=lambda r: (r["tree"], r["node"])):
-            forest.setdefault(row["tree"], []).append(row)
-        packed = [
-            (
-                np.array([r["weights"] or [0.0] * (4 * FREQUENCIES) for r in nodes]),
-                np.array([r["value"] for r in nodes]),
-                np.array([r["low"] for r in nodes]),
-                np.array([r["high"] for r in nodes]),
+            return table.assign(key=key[0], tree=tree, node=range(len(nodes)))
+
+        schema = "weights array<double>, value double, low int, high int, key string, tree int, node int"
+        grown = self._samples(firsts, totals).groupBy("key", "tree").applyInPandas(grow, schema).collect() if totals else []
+        trees: dict = {}
+        for row in sorted(grown, key=lambda r: (r["key"], r["tree"], r["node"])):
+            trees.setdefault(row["key"], {}).setdefault(row["tree"], []).append(row)
+        forests = {
+            key: (
+                [
+                    (
+                        np.array([r["weights"] or [0.0] * (4 * FREQUENCIES) for r in nodes]),
+                        np.array([r["value"] for r in nodes]),
+                        np.array([r["low"] for r in nodes]),
+                        np.array([r["high"] for r in nodes]),
+                    )
+                    for nodes in of_key.values()
+                ],
+                average_path(min(size, totals[key])) or 1.0,
             )
-            for nodes in forest.values()
-        ]
-        norm = average_path(min(size, firsts.count()))
-        self.shared = reference.sparkSession.sparkContext.broadcast((packed, depth, norm or 1.0))
+            for key, of_key in trees.items()
+        }
+        self.shared = reference.sparkSession.sparkContext.broadcast((forests, depth))
         return self
 
-    def _samples(self, firsts: DataFrame) -> DataFrame:
-        """tree, x, _rn: for each tree the curves with the least hashes of all.
+    def _samples(self, firsts: DataFrame, totals: dict[str, int]) -> DataFrame:
+        """key, tree, x, _rn: for each tree the curves with the least hashes of all of its key.
 
         Hashes are even over 60 bits, so a bound six deviations above the wanted number leaves little more than the samples to be
         reduced and sorted; it is widened until every tree has enough.
         """
-        total, size, trees = firsts.count(), self.sample_size, self.n_trees
-        dealt = firsts.select("sample_id", "curve", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        hashed = dealt.withColumn("_h", hash_key(self.seed, F.col("tree"), F.col("sample_id")))
+        size, trees = self.sample_size, self.n_trees
+        draws = F.transform(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda tree: F.struct(tree.alias("tree"), hash_key(self.seed, tree, F.col("sample_id")).alias("_h")),
+        )
         coefficients = F.arrow_udf(curve_coefficients, "array<double>")
         bound = size + 6 * math.sqrt(size) + 10
         while True:
-            share = min(1.0, bound / max(1, total))
-            drawn = hashed.where(F.col("_h") <= int(share * (2**60 - 1)))
-            pool = materialize(drawn.select("tree", "sample_id", "_h", coefficients(F.col("curve")).alias("x")))
-            counts = [r["count"] for r in pool.groupBy("tree").count().collect()]
-            if share >= 1 or (len(counts) == trees and min(counts) >= min(size, total)):
+            shares = {key: min(1.0, bound / total) for key, total in totals.items()}
+            limits = F.create_map(*[F.lit(x) for key, share in shares.items() for x in (key, int(share * (2**60 - 1)))])
+            # Curves without a draw under the limit go before anything is copied per tree.
+            drawn = firsts.withColumn("_draws", F.filter(draws, lambda d: d["_h"] <= limits[F.col("key")])).where(F.size("_draws") > 0)
+            reduced = drawn.select("key", "sample_id", "_draws", coefficients(F.col("curve")).alias("x"))
+            pool = materialize(reduced.select("key", "sample_id", "x", F.explode("_draws").alias("_d")).select("key", "sample_id", "x", "_d.*"))
+            counts: dict = {}
+            for r in pool.groupBy("key", "tree").count().collect():
+                counts.setdefault(r["key"], []).append(r["count"])
+            if all(
+                shares[key] >= 1 or (len(counts.get(key, [])) == trees and min(counts[key]) >= min(size, total))
+                for key, total in totals.items()
+            ):
                 break
             bound *= 2
-        order = W.partitionBy("tree").orderBy("_h", "sample_id")
-        return pool.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size).select("tree", "x", "_rn")
+        order = W.partitionBy("key", "tree").orderBy("_h", "sample_id")
+        return pool.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size).select("key", "tree", "x", "_rn")
 
     def score_map(self, outputs: DataFrame) -> Column:
         return F.create_map(F.lit(self.score_names[0]), self._oddness())
@@ -176,21 +201,29 @@ class FunctionalIsolationForest(Scorer):
         )
 
     def _oddness(self) -> Column:
+        """NULL for a key without a forest."""
         shared = self.shared
 
-        def paths(x: np.ndarray) -> np.ndarray:
-            packed, depth, norm = shared.value
+        def paths(x: np.ndarray, key: str) -> np.ndarray:
+            forests, depth = shared.value
+            trees, norm = forests[key]
             length = np.zeros(len(x))
-            for weights, value, low, high in packed:
+            for weights, value, low, high in trees:
                 at = x @ weights.T
                 node = np.zeros(len(x), dtype=np.int64)
                 rows = np.arange(len(x))
                 for _ in range(depth):
                     node = np.where(at[rows, node] <= value[node], low[node], high[node])
                 length += value[node]
-            return 2.0 ** (-(length / len(packed)) / norm)
-
-        def score(curves: pa.Array) -> pa.Array:
-            return pa.array(paths(matrix(curve_coefficients(curves))) if len(curves) else np.empty(0))
-
-        return F.arrow_udf(score, "double")(F.col(self.column))
+            return 2.0 ** (-(length / len(trees)) / norm)
+
+        def score(keys: pa.Array, curves: pa.Array) -> pa.Array:
+            out = np.full(len(curves), np.nan)
+            names = np.array(keys.to_pylist(), object)
+            x = matrix(curve_coefficients(curves)) if len(curves) else None
+            for key in set(names.tolist()) & shared.value[0].keys():
+                mine = names == key
+                out[mine] = paths(x[mine], key)
+            return pa.array(out, from_pandas=True)
+
+        return F.arrow_udf(score, "double")(self._key(), F.col(self.column))

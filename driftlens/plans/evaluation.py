@@ -17,7 +17,6 @@ from driftlens.operators.aggregates import token_stats
 from driftlens.operators.detectors import FunctionalIsolationForest, Scorer
 from driftlens.operators.detectors.base import score_all
 from driftlens.operators.filters import score_keys
-from driftlens.operators.splits import union_all
 from driftlens.sources.records import with_metadata
 
 TAGS = ("phase", "dataset_out")
@@ -85,17 +84,13 @@ def evaluate_generation(
 
 
 def aggregate_token_records(validation: DataFrame, test: DataFrame, substring: str = "mode=token", **forest) -> DataFrame:
-    """The same for a long table of token scores: each detector whose key holds ``substring`` gets its own forest.
+    """The same for a long table of token scores: each detector whose key holds ``substring`` has its own forest.
 
-    The number of detectors is that of the parameter grid.
+    All forests are grown in one pass and used in one, however many detectors there are.
     """
-    keys = [r["detector"] for r in score_keys(validation, substring).select("detector").distinct().orderBy("detector").collect()]
-    scored = []
-    for key in keys:
-        mine = F.col("detector") == key
-        rows = aggregate_records(validation.where(mine), test.where(mine), **forest)
-        scored.append(rows)
-    return union_all(*scored)
+    known = score_keys(validation, substring)
+    tested = score_keys(test, substring).join(F.broadcast(known.select("detector").distinct()), "detector", "left_semi")
+    return aggregate_records(known, tested, by="detector", **forest)
 
 
 def aggregate_records(validation: DataFrame, test: DataFrame, column: str = "token_scores", **forest) -> DataFrame:

@@ -601,6 +601,19 @@ def flow_generation(spark, sf_dir):
     return _flat(records.drop("hyp", "ref"), scorers, "likelihood", "bleu")
 
 
+@query("flow_aggregate_keys")
+def flow_aggregate_keys(spark, sf_dir):
+    """Three token scorers in one table, told apart by their keys, and one that is not asked for."""
+    rows = V.token_scores(spark, sf_dir)
+    scaled = F.explode(F.array(*[
+        F.struct(F.lit(f"{name}(mode={mode})").alias("detector"), F.transform("token_scores", lambda x: x * factor).alias("_scores"))
+        for name, mode, factor in (("one", "token", 1.0), ("two", "token", -2.0), ("three", "token", 0.5), ("four", "output", 1.0))
+    ]))
+    long = rows.select("*", scaled.alias("_d")).select(*[c for c in rows.columns if c != "token_scores"], "_d.detector", F.col("_d._scores").alias("token_scores"))
+    result = evaluation.aggregate_token_records(long.where("lang = 'en'"), long)
+    return rounded(result, "token_scores_mean", "token_scores_std", "fif_token_scores")
+
+
 @query("flow_aggregate")
 def flow_aggregate(spark, sf_dir):
     rows = V.token_scores(spark, sf_dir)

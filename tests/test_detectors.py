@@ -80,10 +80,24 @@ def test_a_sample_with_one_sequence_has_a_null_projection(spark):
     assert {(r.sample_id, r.score is None) for r in told} == {(1, True), (2, False)}
 
 
+def test_forests_by_key_are_those_of_each_key(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, key, rng.normal(size=6).tolist()) for i in range(60) for key in ("a", "b")]
+    curves = spark.createDataFrame(rows, "sample_id long, seq_id int, detector string, token_scores array<double>")
+    together = D.FunctionalIsolationForest(n_trees=5, by="detector").fit(curves)
+    told = curves.withColumn("s", together._oddness()).collect()
+    for key in ("a", "b"):
+        mine = curves.where(F.col("detector") == key)
+        alone = {r.sample_id: r.score for r in D.FunctionalIsolationForest(n_trees=5).fit(mine).transform(mine).collect()}
+        assert {r.sample_id: r.s for r in told if r.detector == key} == alone
+    other = curves.withColumn("detector", F.lit("c"))
+    assert other.withColumn("s", together._oddness()).where("s IS NOT NULL").count() == 0
+
+
 def test_trees_draw_from_all_curves(spark):
     curves = spark.range(5000).selectExpr("id AS sample_id", "0 AS seq_id", "transform(sequence(1, 4), k -> cast(id * k AS double)) AS token_scores")
     forest = D.FunctionalIsolationForest(n_trees=4, sample_size=16)
-    drawn = forest._samples(curves.withColumnRenamed("token_scores", "curve"))
+    drawn = forest._samples(curves.selectExpr("'' AS key", "sample_id", "token_scores AS curve"), {"": 5000})
     by_tree = {r.tree: r.n for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()}
     assert by_tree == {k: 16 for k in range(4)}
     from driftlens.functions.hashing import hash_key
