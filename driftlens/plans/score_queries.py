@@ -147,6 +147,40 @@ def det_renyi_token(spark, sf_dir):
     return rounded(_elements(curves, "token_scores", "sample_id", "seq_id", "detector"), "value")
 
 
+# Sequences of two to four tokens: the mean over several tokens, from generated and from input tokens.
+TOKEN_MEANS = {
+    "msp": ("1 - exp(list_max(lp))", lambda mode: D.MSP(mode=mode), {"temperature": 1.0}),
+    "energy": ("-(list_max(logits) + ln(list_sum(list_transform(logits, lambda y: exp(y - list_max(logits))))))", lambda mode: D.Energy(temperature=1.0, mode=mode), {"temperature": 1.0}),
+    "renyi": ("ln(len(lp)) - 2 * ln(list_sum(list_transform(lp, lambda z: exp(z / 2))))", lambda mode: D.RenyiNeg((1.0,), (0.5,), mode=mode), {"temperature": 1.0, "alpha": 0.5}),
+    "fisher_rao": ("2 / pi() * acos(least(1.0, list_sum(list_transform(lp, lambda x: exp(x / 2))) / sqrt(len(lp))))", lambda mode: D.FisherRao((1.0,), mode=mode), {"temperature": 1.0}),
+}
+
+
+def _token_means(name: str, mode: str) -> None:
+    value, scorer, params = TOKEN_MEANS[name]
+    sql = using(
+        "fx_logits",
+        soft=f"""SELECT sample_id // 4 AS sample_id, logits, {log_softmax('logits')} AS lp FROM fx_logits
+        WHERE sample_id % 4 < 4 - (sample_id // 4) % 3""",
+        body=f"""SELECT sample_id, 0 AS seq_id, '{label(name, **params, mode=mode)}' AS detector, {six_sql(f'avg({value})')} AS score
+        FROM soft GROUP BY sample_id""",
+    )
+
+    @query(f"det_{name}_{mode}_mean", sql)
+    def build(spark, sf_dir):
+        ordered = F.array_sort(F.collect_list(F.struct("seq_id", "logits")))
+        column = "input_token_logits" if mode == "input" else "token_logits"
+        rows = V.beams(spark, sf_dir).groupBy("sample_id").agg(ordered.alias("_all"))
+        kept = F.slice("_all", F.lit(1), (4 - F.col("sample_id") % 3).cast("int"))
+        rows = rows.select("sample_id", F.transform(kept, lambda s: s["logits"]).alias(column))
+        return rounded(scorer(mode).transform(rows), "score")
+
+
+for _name in TOKEN_MEANS:
+    for _mode in ("output", "input"):
+        _token_means(_name, _mode)
+
+
 @query(
     "det_fisher_rao",
     using(
@@ -486,6 +520,22 @@ def met_rouge_n(spark, sf_dir):
     return rounded(scores, *[c for c in scores.columns if c.startswith("rouge")])
 
 
+STEM_SQL = "list_transform({}, lambda w: substr(w, 1, 4))"
+
+
+@query(
+    "met_rouge_n_stemmed",
+    using("fx_hyps", **_overlap_ctes(lambda text: STEM_SQL.format(ROUGE_SQL.format(text)), 2), body=f"SELECT sample_id, seq_id, {_rouge_columns(1)}, {_rouge_columns(2)} FROM m"),
+)
+def met_rouge_n_stemmed(spark, sf_dir):
+    """Stems are the first four letters, given as a table of all tokens."""
+    pairs = V.hypotheses(spark, sf_dir)
+    tokens = pairs.select(F.explode(F.array_union(metrics.rouge_words(F.col("hyp")), metrics.rouge_words(F.col("ref")))).alias("token")).distinct()
+    stems = tokens.withColumn("stem", F.substring("token", 1, 4))
+    scores = metrics.rouge_n(metrics.stemmed(metrics.rouge_words, pairs, stems, ["hyp", "ref"]))
+    return rounded(scores, *[c for c in scores.columns if c.startswith("rouge")])
+
+
 @query("met_rouge_l")
 def met_rouge_l(spark, sf_dir):
     scores = metrics.rouge_l(V.hypotheses(spark, sf_dir))
