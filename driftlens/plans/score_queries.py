@@ -536,7 +536,23 @@ def met_rouge_n_stemmed(spark, sf_dir):
     return rounded(scores, *[c for c in scores.columns if c.startswith("rouge")])
 
 
-@query("met_rouge_l")
+# Longest common subsequence: ends[k] is the least place of the hypothesis where a common subsequence of k tokens can end.
+LCS_SQL = {
+    "lcs": """SELECT sample_id, seq_id, h, r, 0 AS i, []::BIGINT[] AS ends FROM tok
+    UNION ALL
+    SELECT sample_id, seq_id, h, r, i + 1, list_filter(list_transform(range(1, len(ends) + 2), lambda k: least(coalesce(ends[k], 1000000000),
+      coalesce(list_min(list_filter(places, lambda p: p > coalesce(ends[k - 1], 0))), 1000000000))), lambda e: e < 1000000000)
+    FROM (SELECT *, list_filter(range(1, len(h) + 1), lambda p: h[p] = r[i + 1]) AS places FROM lcs WHERE i < len(r))""",
+    "m": "SELECT sample_id, seq_id, len(h) AS hl, len(r) AS rl, len(ends) AS m1 FROM lcs WHERE i = len(r)",
+}
+
+
+def _lcs_sql(body: str) -> str:
+    sql = using("fx_hyps", tok=_overlap_ctes(ROUGE_SQL.format, 1)["tok"], **LCS_SQL, body=body)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("met_rouge_l", _lcs_sql("SELECT sample_id, seq_id, " + _rouge_columns(1).replace("rouge1", "rougeL") + " FROM m"))
 def met_rouge_l(spark, sf_dir):
     scores = metrics.rouge_l(V.hypotheses(spark, sf_dir))
     return rounded(scores, *[c for c in scores.columns if c.startswith("rouge")])
