@@ -262,7 +262,27 @@ def det_depth(spark, sf_dir):
     return depths.withColumn("score", six_off_ties("score"))
 
 
-@query("det_mahalanobis")
+# The inverse of the covariance by elimination, one column per step, on rows with the unit matrix beside them.
+MAHALANOBIS_SQL = using(
+    "fx_features", "fx_elems",
+    ref="SELECT sample_id, label, i, v FROM fx_elems WHERE is_ref",
+    m="SELECT label, i, avg(v) AS m FROM ref GROUP BY label, i",
+    centred="SELECT sample_id, i, v - m AS d FROM ref JOIN m USING (label, i)",
+    cov="SELECT a.i, b.i AS j, avg(a.d * b.d) AS c FROM centred a JOIN centred b USING (sample_id) GROUP BY a.i, b.i",
+    beside="SELECT i, list_concat(list(c ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY j)) AS row FROM cov GROUP BY i",
+    inv="""SELECT list(row ORDER BY i) AS a, 0 AS k FROM beside UNION ALL
+    SELECT list_transform(a, lambda row, p: list_transform(row, lambda x, q: CASE WHEN p = k + 1 THEN x / row[k + 1]
+      ELSE x - row[k + 1] * a[k + 1][q] / a[k + 1][k + 1] END)), k + 1 FROM inv WHERE k < len(a)""",
+    precision_rows="SELECT list_transform(a, lambda row: row[len(a) + 1:]) AS p FROM inv WHERE k = len(a)",
+    means="SELECT list(m ORDER BY i) AS mu FROM m GROUP BY label",
+    off="SELECT sample_id, list_transform(features, lambda x, i: x - mu[i]) AS d FROM fx_features, means",
+    body=f"""SELECT sample_id, 0 AS seq_id, 'mahalanobis' AS detector,
+    {six_sql('min(list_dot_product(d, list_transform(p, lambda row: list_dot_product(row, d))))')} AS score
+    FROM off, precision_rows GROUP BY sample_id""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("det_mahalanobis", MAHALANOBIS_SQL)
 def det_mahalanobis(spark, sf_dir):
     rows = V.features(spark, sf_dir)
     return rounded(D.Mahalanobis().fit(rows.where("is_ref")).transform(rows), "score")
