@@ -23,7 +23,7 @@ def accumulate_dialog(
     is spread over its blocks; only the block texts of one dialog meet, and those are no longer than the
     source of its last row.
     """
-    turns = df.select(dialog, turn, text).withColumn("_block", F.floor(F.col(turn) / block_turns))
+    turns = df.select(dialog, turn, text).withColumn("_block", F.call_function("div", F.col(turn).cast("long"), F.lit(block_turns).cast("long")))
     inside = W.partitionBy(dialog, "_block").orderBy(turn)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     local = turns.select(

@@ -30,37 +30,17 @@ from driftlens.sources.corpus import read_corpus, read_pair, read_pair_corpus
 
 SEED = 42
 
-# Per configuration the number of labels, the metric name and the two text keys.
-CLASSIFICATION_CONFIGS: dict[str, dict] = {
-    "amazon_reviews_multi": {"label": 30, "metric": "mnli", "keys": ("review_body", None), "language": "en"},
-    "go_emotions": {"label": 28, "metric": "mnli", "keys": ("text", None)},
-    "sst2": {"label": 2, "metric": "sst2", "keys": ("text", None)},
-    "imdb": {"label": 2, "metric": "sst2", "keys": ("text", None)},
-    "20ng": {"label": 20, "metric": "mnli", "keys": ("text_scr", None)},
-    "trec": {"label": 6, "metric": "mnli", "keys": ("text_scr", None)},
-    "mnli": {"label": 3, "metric": "mnli", "keys": ("premise", "hypothesis")},
-    "snli": {"label": 3, "metric": "mnli", "keys": ("premise", "hypothesis")},
-    "rte": {"label": 2, "metric": "mnli", "keys": ("sentence1", "sentence2")},
-    "b77": {"label": 77, "metric": "mnli", "keys": ("text", None)},
-    "massive": {"label": 60, "metric": "mnli", "keys": ("text", None)},
-    "trec_fine": {"label": 50, "metric": "mnli", "keys": ("text_scr", None)},
-    "emotion": {"label": 6, "metric": "mnli", "keys": ("text", None)},
-    "fr_cls": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "fr_xnli": {"label": 3, "metric": "mnli", "keys": ("text", None)},
-    "fr_pawsx": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "fr_allocine": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "fr_xstance": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "fr_swiss_judgement": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "fr_tweet_sentiment": {"label": 3, "metric": "mnli", "keys": ("text", None)},
-    "de_xstance": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "de_swiss_judgement": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "de_tweet_sentiment": {"label": 3, "metric": "mnli", "keys": ("text", None)},
-    "de_pawsx": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "es_tweet_sentiment": {"label": 3, "metric": "mnli", "keys": ("text", None)},
-    "es_pawsx": {"label": 2, "metric": "mnli", "keys": ("text", None)},
-    "es_cine": {"label": 5, "metric": "mnli", "keys": ("text", None)},
-    "es_tweet_inde": {"label": 3, "metric": "mnli", "keys": ("text", None)},
+# The text fields of the corpora that don't have one field "text", and the language taken of the reviews.
+TEXT_FIELDS: dict[str, tuple[str, str | None]] = {
+    "amazon_reviews_multi": ("review_body", None),
+    "20ng": ("text_scr", None),
+    "trec": ("text_scr", None),
+    "mnli": ("premise", "hypothesis"),
+    "snli": ("premise", "hypothesis"),
+    "rte": ("sentence1", "sentence2"),
+    "trec_fine": ("text_scr", None),
 }
+AMAZON_LANGUAGE = "en"
 
 # Argument-mining labels, news groups in label order, languages of the tweet corpus.
 ARGUMENT_LABELS = {"conclusion": 0, "definition": 1, "subsumption": 2, "other": 3}
@@ -221,7 +201,7 @@ def _news_groups(store: Store, name: str) -> DataFrame:
 
 
 def _amazon_labels(store: Store, name: str) -> DataFrame:
-    raw = store.read("amazon_reviews_multi", CLASSIFICATION_CONFIGS["amazon_reviews_multi"]["language"], ("train", "test"))
+    raw = store.read("amazon_reviews_multi", AMAZON_LANGUAGE, ("train", "test"))
     codes = A.label_codes(_split(raw, "train"), "product_category")
     coded = A.lookup_labels(raw.select("row_id", "split", "review_body", "product_category"), codes, "product_category")
     return recompose(coded, RECIPES["train_twice"])
@@ -311,7 +291,7 @@ def load_classification(
     """{row_id, split, text, labels} of a named corpus, capped per split."""
     if name not in CLASSIFICATION:
         raise ValueError(f"unknown corpus {name}; known: {sorted(CLASSIFICATION)}")
-    first, second = keys or CLASSIFICATION_CONFIGS.get(name, {}).get("keys", ("text", None))
+    first, second = keys or TEXT_FIELDS.get(name, ("text", None))
     shaped = A.to_classification(CLASSIFICATION[name](store, name), first, second)
     return shaped if caps is None else cap(shaped, caps)
 
