@@ -48,6 +48,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, object
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(step(batch))
 
+    text_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -74,6 +75,7 @@ def popcount(x: np.ndarray) -> np.ndarray:
 
 def _with_guess(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
     """`name`: whether the key may be in the one column of `keys`, by a bit set of fixed size that Spark puts together."""
+    text_batches(df.sparkSession)
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
     told = keys.select(F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)).alias("bit"))
     told = told.selectExpr("bit div 64 AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS one")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import as_bytes, is_held_out, is_training
+from driftlens.llm.common import as_bytes, is_held_out, is_training, text_batches
 from driftlens.session import materialize
 
 ORDER = 3
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     normalised. Ties go to the language that sorts first. A NULL text, one without a letter, and every text when
     nothing was learnt: `und`, score 0. A NULL id is in no fold, so never learnt from. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     trees = Trees(fit(docs if known is None else known))
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
 

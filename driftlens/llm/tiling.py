@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import drop_rows, row_key
+from driftlens.llm.common import drop_rows, row_key, text_batches
 from driftlens.session import materialize
 
 SHORTEST = 5
@@ -128,6 +128,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFram
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / BLOCK_BYTES))
+    text_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())

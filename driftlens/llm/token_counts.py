@@ -16,6 +16,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import text_batches
+
 SPACE = "▁"
 # Summaries: words kept while a task counts, words that it hands over, words in the broadcast table, and their longest length
 # (so that the table is under 65,536 * (48 characters and a number), a few megabytes).
@@ -24,7 +26,7 @@ SUMMARY = 8_192
 TABLE = 65_536
 LONGEST = 48
 # The workers' caches start anew at this size.
-CACHE = 400_000
+CACHE = 200_000
 
 _WORKER: dict = {}
 
@@ -99,6 +101,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with open(model_path, "rb") as file:
         proto = file.read()
+    text_batches(docs.sparkSession)
     check_model(_encoder(proto))
     words = frequent_pre_tokens(docs)
     context = docs.sparkSession.sparkContext
