@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import as_bytes, blocks, map_batches
 from driftlens.session import materialize
 
-# Labelled rows that the classifier is fitted to, at most: those with the least hashes.
+# Labelled rows that the classifier is fitted to, give or take six deviations: a share of them by the id's hash, or all if they are fewer.
 SAMPLE = 20_000
 STEPS = 200
 CLOSE = 1e-6
@@ -74,7 +74,9 @@ def described(docs: DataFrame) -> DataFrame:
 def posteriors(rows: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
     """(rows with `posterior` in place of `features`, the domains in its order). `labelled` has doc_id and domain."""
     marks = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sample = rows.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(SAMPLE)
+    share = min(1.0, SAMPLE / max(1, marks.count()))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = rows.where(draw).join(marks, "doc_id")
     sample = materialize(sample.select("domain", array_to_vector("features").alias("features")))
     domains = sorted(r.domain for r in sample.select("domain").distinct().collect())
     if len(domains) < 2:
