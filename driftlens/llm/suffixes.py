@@ -360,7 +360,8 @@ def _wanted(rows: DataFrame, hot: int) -> DataFrame:
     """h1, firsts, hots: the runs of each text whose seed stands elsewhere too. Seeds are computed twice, which is less than keeping them."""
     seeds = _seeds(rows)
     place = F.xxhash64("h1", "first")
-    several = (
+    # Written first, so that both sides of the join are plain shuffles, which adaptive execution can split where a seed is hot.
+    several = materialize(
         seeds.groupBy("seed")
         .agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
         .where("low <> high")
