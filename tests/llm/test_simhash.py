@@ -130,3 +130,44 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(0, near[0], "x"), (8, "", None), (None, "alone", None)], key=str)
     assert wide_simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def pair_at(rng, similarity, size, name):
+    """Two texts of many words with as many shingles each and at least (most closely) this similarity: words at the end differ."""
+    words = [f"{name}{rng.randrange(10**9)}" for _ in range(size + 4)]
+    shared = -(-2 * size * similarity // (1 + similarity))
+    other = words[: int(shared) + 4] + [f"{name}z{rng.randrange(10**9)}" for _ in range(size - int(shared))]
+    return " ".join(words), " ".join(other)
+
+
+def test_isolated_pairs_are_near_from_the_similarity_on(docs_of):
+    rng = random.Random(11)
+    wanted = [s for s in (0.8, 0.81, 0.82, 0.85, 0.7, 0.75, 0.78, 0.79) for _ in range(25)]
+    texts = [t for k, s in enumerate(wanted) for t in pair_at(rng, s, (60, 200, 600)[k % 3], f"p{k}x")]
+    roots = {r.doc_id: r.root for r in wide_simhash.groups_of(docs_of(texts)).collect()}
+    for k, (one, other) in enumerate(zip(texts[::2], texts[1::2])):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (one, other))
+        assert (roots[2 * k] == roots[2 * k + 1]) == (len(a & b) >= 0.8 * len(a | b)), (wanted[k], len(a))
+    assert len(set(roots.values())) == 300
+
+
+def test_large_meetings_have_the_components_of_all_pairs(docs_of, monkeypatch):
+    """Edited copies of one template, some near each other and many not; chunks of few members."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for k in range(90):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 7)):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [wide_simhash.shingles_of(t.encode()) for t in texts]
+    near = [(a, b) for a in range(90) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    expected = brute_components(range(90), near)
+    assert 1 < len(set(expected.values())) < 80
+    for size in (256, 10):
+        monkeypatch.setattr(wide_simhash, "CHUNK", size)
+        roots = {r.doc_id: r.root for r in wide_simhash.groups_of(docs_of(texts)).collect()}
+        assert {frozenset(i for i in roots if roots[i] == g) for g in roots.values()} == {
+            frozenset(i for i in expected if expected[i] == g) for g in expected.values()
+        }
