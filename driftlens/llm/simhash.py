@@ -15,10 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import as_bytes, map_batches, popcount
+from driftlens.llm.common import as_bytes, drop_rows, keep_likely, map_batches, popcount, row_key
 from driftlens.llm.graph import components
 from driftlens.session import materialize
 
+WIDTH = 3
 THRESHOLD = 2
 RADIUS = 1
 REACH = RADIUS + (THRESHOLD + 1) // 2
@@ -53,14 +54,15 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(sums * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long). A NULL text has no words."""
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, key (of the row), fp (the 64 bits as a long). A NULL text has no words."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        found = [majority_bits(shingle_hashes(t, width)) for t in as_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0), "fp": np.array(found, np.uint64).view(np.int64)}
+        found = [majority_bits(shingle_hashes(t, width)) for t in as_bytes(batch.column(2))]
+        return {"doc_id": batch.column(0), "key": batch.column(1), "fp": np.array(found, np.uint64).view(np.int64)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
+    return map_batches(rows, step, "doc_id long, key long, fp long")
 
 
 def anchors_of(fps: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,13 @@ def links(fps: DataFrame) -> DataFrame:
     return map_batches(groups, compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+def _roots(nodes: DataFrame) -> DataFrame:
+    """Different fingerprints (fp, ...) with the root of their component."""
+    roots = components(links(nodes))
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per document, in no order.
 
     Components join fingerprints that differ in at most THRESHOLD bits. Documents with equal fingerprints (copies, and all
@@ -143,13 +151,35 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     the least id of its component (NULL if it has no other). Repeated rows and ids stay as they are; other columns
     are not read. An empty table gives an empty table.
     """
-    marked = materialize(fingerprints(docs, width))
+    marked = materialize(fingerprints(docs, width).drop("key"))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named)
+    named = materialize(_roots(nodes))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.join(ids, "root").select(F.col("fp").alias("of_fp"), "component_id")
     return marked.join(of_fp, marked.fp == of_fp.of_fp).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the least doc_id (then row key); all columns are kept.
+
+    Groups are the components of `near_duplicates`, so of all texts without a word one stays. Of rows with equal id and text, one
+    stays. A NULL id stays only where its group has no other. An empty table gives an empty table.
+    """
+    marked = materialize(fingerprints(docs, width).groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    nodes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")))
+    named = materialize(_roots(nodes))
+    chosen = named.groupBy("root").agg(F.min("first").alias("first"))
+    of_fp = named.select("fp", "root").join(chosen, "root").select("fp", "first")
+    stays = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    told = materialize(marked.join(of_fp, "fp").select("doc_id", "key", stays.alias("stays"), "n"))
+    kept = drop_rows(docs, told.where(~F.col("stays") | (F.col("n") > 1)))
+    several = told.where(F.col("stays") & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    if several.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = keep_likely(docs.select(row, F.col("doc_id").alias("_own"), row_key().alias("_hash")), "_hash", several.select("_key"))
+    again = rows.join(several, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
+    return kept.unionAll(again.dropDuplicates(["_id", "_key"]).select("row.*"))

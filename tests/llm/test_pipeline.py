@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from driftlens.llm import pii, tiling, toxicity, wide_simhash
+from driftlens.llm import pii, simhash, tiling, toxicity
 from driftlens.llm.common import drop_rows, row_key, table
 
 SF = "/root/testdata/sf0.01"
@@ -41,8 +41,8 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    groups = wide_simhash.groups_of(stages[1]).groupBy("root").agg({"doc_id": "min"}).collect()
-    assert ids(stages[2]) == sorted(r["min(doc_id)"] for r in groups)
+    groups = simhash.near_duplicates(stages[1]).select("component_id").distinct()
+    assert ids(stages[2]) == sorted(r.component_id for r in groups.collect())
     texts = [r.text for r in stages[2].select("text").collect()]
     assert len(texts) == len(set(texts))
 

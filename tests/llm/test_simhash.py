@@ -1,4 +1,4 @@
-"""SimHash components against all pairs, for the contract's fingerprints and the pipeline's wide ones."""
+"""SimHash fingerprints, components and the documents kept, against all pairs."""
 
 import random
 import re
@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from driftlens.llm import simhash, wide_simhash
+from driftlens.llm import simhash
 from driftlens.llm.graph import components
 
 
@@ -84,90 +84,22 @@ def test_components_of_long_paths_and_stars(spark):
     assert found == expected
 
 
-def near_corpus():
+def test_keep_one(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
-    texts = []
-    for _ in range(25):
-        base = [rng.choice(words) for _ in range(200)]
-        texts.append(" ".join(base))
-        for _ in range(3):
-            copy = list(base)
-            copy[rng.randrange(200)] = rng.choice(words)
-            texts.append(" ".join(copy))
-    return texts
-
-
-def test_wide_groups_are_those_of_all_pairs(docs_of):
-    texts = near_corpus()
-    groups = {r.doc_id: r.root for r in wide_simhash.groups_of(docs_of(texts)).collect()}
-    fps = [wide_simhash.wide_fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for t in texts]
-    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if np.bitwise_count(fps[a] ^ fps[b]).sum() <= wide_simhash.LIMIT]
-    expected = brute_components(range(len(fps)), pairs)
-    assert len(set(expected.values())) == 25
-    assert {frozenset(i for i in groups if groups[i] == g) for g in groups.values()} == {
-        frozenset(i for i in expected if expected[i] == g) for g in expected.values()
-    }
-
-
-def test_search_between_chunks_finds_the_same_components():
-    rng = np.random.default_rng(3)
-    centres = rng.integers(0, 1 << 63, (5, wide_simhash.WORDS), dtype=np.uint64)
-    fps = centres[rng.integers(0, 5, 60)] ^ (np.uint64(1) << rng.integers(0, 64, (60, wide_simhash.WORDS), dtype=np.uint64))
-    every = np.ones(60, bool)
-    whole = brute_components(range(60), wide_simhash.stars_by_search(fps, every, every))
-    chunk = rng.integers(0, 3, 60)
-    pairs = [p for i in range(3) for j in range(i, 3) for s in [np.flatnonzero((chunk == i) | (chunk == j))]
-             for p in ((s[a], s[b]) for a, b in wide_simhash.stars_by_search(fps[s], chunk[s] == i, chunk[s] == j))]
-    assert brute_components(range(60), pairs) == whole and len(set(whole.values())) == 5
-
-
-def test_keep_one(spark):
-    near = near_corpus()[:4]
-    rows = [(i, t, "x") for i, t in enumerate(near)] + [(0, near[0], "x"), (None, near[1], None), (9, None, "n"), (8, "", None), (None, "alone", None)]
+    base = [rng.choice(words) for _ in range(600)]
+    texts = [" ".join(base), "  ".join(base), " ".join(base).upper()]
+    for at in (100, 300):
+        texts.append(" ".join([*base[:at], "other", *base[at + 1 :]]))
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, texts[1], None), (9, None, "n"), (8, "", None), (None, "alone", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    kept = wide_simhash.keep_one(docs)
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    groups = brute_components(range(len(rows)), pairs)
+    least = {}
+    for i, (doc_id, text, key) in enumerate(rows):
+        least[groups[i]] = min(least.get(groups[i], (2, 0, "", "")), (doc_id is None, doc_id or 0, text or "", key or ""))
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(0, near[0], "x"), (8, "", None), (None, "alone", None)], key=str)
-    assert wide_simhash.keep_one(docs.limit(0)).count() == 0
-
-
-def pair_at(rng, similarity, size, name):
-    """Two texts of many words with as many shingles each and at least (most closely) this similarity: words at the end differ."""
-    words = [f"{name}{rng.randrange(10**9)}" for _ in range(size + 4)]
-    shared = -(-2 * size * similarity // (1 + similarity))
-    other = words[: int(shared) + 4] + [f"{name}z{rng.randrange(10**9)}" for _ in range(size - int(shared))]
-    return " ".join(words), " ".join(other)
-
-
-def test_isolated_pairs_are_near_from_the_similarity_on(docs_of):
-    rng = random.Random(11)
-    wanted = [s for s in (0.8, 0.81, 0.82, 0.85, 0.7, 0.75, 0.78, 0.79) for _ in range(25)]
-    texts = [t for k, s in enumerate(wanted) for t in pair_at(rng, s, (60, 200, 600)[k % 3], f"p{k}x")]
-    roots = {r.doc_id: r.root for r in wide_simhash.groups_of(docs_of(texts)).collect()}
-    for k, (one, other) in enumerate(zip(texts[::2], texts[1::2])):
-        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (one, other))
-        assert (roots[2 * k] == roots[2 * k + 1]) == (len(a & b) >= 0.8 * len(a | b)), (wanted[k], len(a))
-    assert len(set(roots.values())) == 300
-
-
-def test_large_meetings_have_the_components_of_all_pairs(docs_of, monkeypatch):
-    """Edited copies of one template, some near each other and many not; chunks of few members."""
-    rng = random.Random(12)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
-    texts = []
-    for k in range(90):
-        copy = list(base)
-        for at in rng.sample(range(150), rng.randint(1, 7)):
-            copy[at] = f"e{rng.randrange(10**6)}"
-        texts.append(" ".join(copy))
-    sets = [wide_simhash.shingles_of(t.encode()) for t in texts]
-    near = [(a, b) for a in range(90) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
-    expected = brute_components(range(90), near)
-    assert 1 < len(set(expected.values())) < 80
-    for size in (256, 10):
-        monkeypatch.setattr(wide_simhash, "CHUNK", size)
-        roots = {r.doc_id: r.root for r in wide_simhash.groups_of(docs_of(texts)).collect()}
-        assert {frozenset(i for i in roots if roots[i] == g) for g in roots.values()} == {
-            frozenset(i for i in expected if expected[i] == g) for g in expected.values()
-        }
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.key or "") for r in kept.collect()) == sorted(least.values())
+    assert len(least) < 6 and simhash.keep_one(docs.limit(0)).count() == 0
