@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import mixing, pii, tiling, toxicity, wide_simhash
+from driftlens.llm import mixing, pii, simhash, tiling, toxicity
 from driftlens.llm.common import table
 from driftlens.plans.registry import query
 from driftlens.session import scratch_path
@@ -19,7 +19,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return wide_simhash.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
