@@ -25,7 +25,7 @@ from driftlens.sources import corpus, records
 )
 def src_corpus(spark, sf_dir):
     files = {"train": "documents", "test": "benchmark"}
-    both = corpus.read_corpus(spark, sf_dir, "texts", layout=lambda s: f"{sf_dir}/{files.get(s, 'absent')}.parquet")
+    both = corpus.read_corpus(spark, sf_dir, "texts", layout=lambda s: f"{sf_dir}/{files.get(s, 'absent')}.parquet", optional=("validation",))
     return both.select("split", F.coalesce("doc_id", "item_id").alias("row_id"), "text")
 
 
