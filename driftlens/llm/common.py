@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftlens.session import scratch_path
+
 # A filter of keys has this many bits, whatever the data.
 FILTER_BITS = 1 << 26
 
@@ -21,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A derived table that several jobs read, as Parquet in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of a thousand: with Spark's own ten thousand, a batch may hold more than a task's share of memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -16,6 +16,7 @@ from driftlens.llm.tiling import matches
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
 from driftlens.llm.url_rules import judge
+from driftlens.llm.word_table import digests
 from driftlens.plans.registry import query
 
 
@@ -69,3 +70,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_bpe_word_table")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
