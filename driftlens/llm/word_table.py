@@ -1,13 +1,14 @@
 """Byte-pair encoding by a table of distinct words, and decoding by a table of pieces.
 
-Texts are split into words as the tokenizer splits them. All words are counted, and each distinct one is encoded once: that is the word
-table. Texts are then written as word numbers: the FREQUENT most frequent words have one in all texts (their part of the table is broadcast; its
-size is fixed), any other has a slot in its text. Slots are joined with the word table, and the ids they bring meet their text
-again, where they take the slots' positions. Only numbers and rare words are shuffled, no text.
+Texts are split into words as the tokenizer splits them, and each distinct word is encoded once. The FREQUENT most frequent words (found from
+per-task summaries of all texts) are the first part of the word table; its size is fixed, so it is broadcast, and texts are written as numbers of
+its words. Any other word of a text has a slot there; all slots of a word meet in one task, which encodes the word once, and the ids go back to
+the slots' positions. Only numbers and rare words are shuffled, no text. What is in the first part changes the time alone, not the ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -21,14 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from driftlens.llm.common import row_key, text_batches, written
+from driftlens.llm.common import row_key, text_batches
+from driftlens.session import dealt
 
-# Words with a number in all texts, and their longest length: under 2^18 * (48 characters and some ids), about 10 MB in practice.
-FREQUENT = 1 << 18
+# Words with a number in all texts, and their longest length: under 2^19 * (48 characters and some ids), about 20 MB in practice.
+FREQUENT = 1 << 19
 LONGEST = 48
-# A task hands on its counts when it has this many words or characters of them.
-COUNTED = 1 << 18
-COUNTED_CHARS = 1 << 23
+# Summaries: words kept while a task counts (and characters of texts after which it drops long ones), and words that it hands over.
+WORKING = 1 << 19
+WORKING_CHARS = 1 << 24
+SUMMARY = 1 << 17
+# Slots of a word longer than LONGEST, which no number keeps from being everywhere, meet in this many tasks.
+SALTS = 64
 # Texts leave a task in batches of about this many ids.
 IDS_AT_ONCE = 1 << 19
 
@@ -42,6 +47,19 @@ _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\
 _WORKER: dict = {}
 
 
+class Numbers(dict):
+    """Word -> number of the known words; another word gets the next slot of its text, as -1 - slot."""
+
+    def of(self, words: list[str]) -> tuple[list[int], list[str]]:
+        """(a number for every word, the words that have slots)."""
+        self.slots: dict[str, int] = {}
+        numbers = list(map(self.__getitem__, words))
+        return numbers, list(self.slots)
+
+    def __missing__(self, word: str) -> int:
+        return self.slots.setdefault(word, -1 - len(self.slots))
+
+
 class Words:
     """A tokenizer file's splitting and encoding, word by word."""
 
@@ -99,39 +117,34 @@ def _words_of(spec: str) -> Words:
     return _WORKER["words"]
 
 
-def word_table(docs: DataFrame, spec: str) -> DataFrame:
-    """word, n (how often it is in all texts), ids: every distinct word once."""
+def frequent_words(docs: DataFrame, spec: str) -> DataFrame:
+    """word, ids: the FREQUENT most frequent words, in no order."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _words_of(shared.value).words
-        counts: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
-            counts.clear()
-            return out
-
-        chars = 0
+        counts, chars = Counter(), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(split(text or ""))
-                chars += len(text or "")
-                if len(counts) > COUNTED or (chars > COUNTED_CHARS and sum(map(len, counts)) > COUNTED_CHARS):
-                    yield told()
-                    chars = 0
-                elif chars > COUNTED_CHARS:
-                    chars = 0
-        yield told()
+                counts.update(split(text))
+                chars += len(text)
+                if chars > WORKING_CHARS:
+                    counts, chars = Counter({w: n for w, n in counts.items() if len(w) <= LONGEST}), 0
+                if len(counts) > WORKING:
+                    counts = Counter(dict(counts.most_common(WORKING // 2)))
+        top = Counter({w: n for w, n in counts.items() if len(w) <= LONGEST}).most_common(SUMMARY)
+        words, n = pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())
+        yield pa.RecordBatch.from_arrays([words, n], ["word", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _words_of(shared.value).ids
         for batch in batches:
             ids = pa.array([ids_of(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["word", "ids"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(encode, "word string, n long, ids array<int>")
+    counted = docs.select("text").mapInArrow(summary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = counted.orderBy(F.desc("n"), "word").limit(FREQUENT)
+    return ranked.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(encode, "word string, ids array<int>")
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -155,42 +168,59 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select("doc_id", row_key().alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = written(word_table(docs, spec), "word-table")
-    common = table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").toArrow()
+    common = frequent_words(docs, spec).toArrow()
     shared = spark.sparkContext.broadcast(spec)
     known = spark.sparkContext.broadcast(common.column("word").to_pylist())
-    sizes = common.column("ids").combine_chunks()
-    ends = np.concatenate([[0], np.cumsum(sizes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    ids_of_known = spark.sparkContext.broadcast((sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends))
+    lists = common.column("ids").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids_of_known = spark.sparkContext.broadcast((lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _words_of(shared.value).words
+    def splitter() -> tuple:
         if _WORKER.get("known") is not known.value:
-            _WORKER.update(known=known.value, place={w: i for i, w in enumerate(known.value)})
-        place = _WORKER["place"]
+            _WORKER.update(known=known.value, numbers=Numbers({w: i for i, w in enumerate(known.value)}))
+        return _words_of(shared.value).words, _WORKER["numbers"].of
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number = splitter()
+        for batch in batches:
+            words = [number(split(text))[1] for text in batch.column(2).to_pylist()]
+            rows = np.repeat(np.arange(len(words)), [len(own) for own in words])
+            at = np.concatenate([np.arange(len(own), dtype=np.int32) for own in words] or [np.zeros(0, np.int32)])
+            keys = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
+            columns = [*keys, pa.array(at), pa.array([w for own in words for w in own], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_key", "slot", "word"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number = splitter()
         for batch in batches:
-            numbers, slots = [], []
-            for text in batch.column(2).to_pylist():
-                words = split(text)
-                found = list(map(place.get, words))
-                own: dict[str, int] = {}
-                if None in found:
-                    found = [-1 - own.setdefault(w, len(own)) if n is None else n for w, n in zip(words, found)]
-                numbers.append(_pack(np.array(found, np.int32)))
-                slots.append(list(own))
-            columns = [batch.column(0), batch.column(1), pa.array(numbers, pa.binary()), pa.array(slots, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_key", "numbers", "slots"])
+            numbers = [_pack(np.array(number(split(text))[0], np.int32)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(numbers, pa.binary())], ["doc_id", "_key", "numbers"])
+
+    def encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one word lie together: it is encoded once. Slot and ids are bytes of 32-bit numbers. Equal rows of one word make one."""
+        ids_of, last, ids, row = _words_of(shared.value).ids, None, b"", None
+        for batch in batches:
+            found, kept = [], []
+            doc_ids, keys, slots, words = (c.to_pylist() for c in batch.columns)
+            for k, word in enumerate(words):
+                if word != last:
+                    last, ids, row = word, np.array(ids_of(word), "<i4").tobytes(), None
+                if row != (row := (doc_ids[k], keys[k])):
+                    kept.append(k)
+                    found.append(slots[k].to_bytes(4, "little") + ids)
+            columns = [batch.column(k).take(pa.array(kept, pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "_key", "found"])
 
     def place_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends = ids_of_known.value
         for batch in batches:
             out, sizes, held, first = [], [], 0, 0
-            found = batch.column(2)
+            brought = batch.column(2).to_pylist()
             for row, packed in enumerate(batch.column(1).to_pylist()):
                 numbers = _unpack(packed)
-                if found[row].is_valid:
-                    numbers, extra, more = _with_slots(numbers, found[row].values, len(ends) - 1)
-                    ids = _gather(numbers, np.concatenate([flat, extra]), np.concatenate([ends, ends[-1] + more]))
+                if brought[row]:
+                    used, numbers = np.unique(numbers, return_inverse=True)
+                    ids = _gather(numbers, *_table_of(used, flat, ends, brought[row]))
                 else:
                     ids = _gather(numbers, flat, ends)
                 out.append(ids)
@@ -202,27 +232,26 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     out, sizes, held, first = [], [], 0, row + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.mapInArrow(number, f"doc_id {kind}, _key long, numbers binary, slots array<string>")
-    rare = numbered.select("doc_id", "_key", F.posexplode("slots").alias("slot", "word"))
-    brought = rare.join(table.select("word", "ids"), "word")
-    brought = brought.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("slot", "ids")).alias("found"))
+    rare = docs.mapInArrow(slots, f"doc_id {kind}, _key long, slot int, word string")
+    salt = F.when(F.length("word") > LONGEST, F.spark_partition_id() % SALTS).otherwise(0)
+    together = dealt(rare.withColumn("_salt", salt), "word", "_salt").drop("_salt").sortWithinPartitions("word", "doc_id", "_key")
+    brought = together.mapInArrow(encode_runs, f"doc_id {kind}, _key long, found binary")
+    # Dealt out before the grouping: half-made sets would be longer than the rows.
+    brought = dealt(brought, "doc_id", "_key").groupBy("doc_id", "_key").agg(F.collect_set("found").alias("found"))
     brought = brought.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_row"), "found")
-    met = numbered.select("doc_id", "_key", "numbers").join(
-        brought, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left"
-    )
+    numbered = docs.mapInArrow(number, f"doc_id {kind}, _key long, numbers binary")
+    met = numbered.join(brought, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     return met.select("doc_id", "numbers", "found").mapInArrow(place_ids, f"doc_id {kind}, ids array<int>")
 
 
-def _with_slots(numbers: np.ndarray, found: pa.StructArray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers with each slot -1 - s as known + its place among the slots found; the ids of these, and where each ends."""
-    slots = found.field("slot").to_numpy(zero_copy_only=False)
-    lists = found.field("ids")
-    place = np.empty(len(slots), np.int64)
-    place[slots] = np.arange(len(slots))
-    missing = numbers < 0
-    numbers = numbers.astype(np.int64)
-    numbers[missing] = known + place[-1 - numbers[missing]]
-    return numbers, lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+def _table_of(used: np.ndarray, flat: np.ndarray, ends: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a text's own words, which are its slots (negative, ascending) and known numbers, and where each word ends."""
+    brought = {int.from_bytes(f[:4], "little"): f for f in found}
+    slots = [np.frombuffer(brought[-1 - n], "<i4", offset=4) for n in used[used < 0].tolist()]
+    known = used[used >= 0].astype(np.int64)
+    ids = _gather(known, flat, ends)
+    sizes = np.concatenate([[0], [len(s) for s in slots], ends[known + 1] - ends[known]])
+    return np.concatenate([*slots, ids]), np.cumsum(sizes).astype(np.int64)
 
 
 def _gather(numbers: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -240,46 +269,51 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The pieces are a table of one row per id, whose size the file fixes; every task joins its ids with it. Ids without a piece are left out;
     no ids, or NULL, give an empty text.
     """
-    with open(path, encoding="utf-8") as file:
-        tokenizer = Words(file.read()).tokenizer
-    pieces = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    names = [pieces.get(i) for i in range(max(pieces) + 1)]
-    shared = encoded.sparkSession.sparkContext.broadcast(names)
+    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*shared.value, None], object)
-        whole = None not in shared.value
         for batch in batches:
-            texts = []
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            for row in range(batch.num_rows):
-                ids = lists[row].values
-                ids = ids.to_numpy(zero_copy_only=False) if ids is not None else np.zeros(0, np.int32)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(names) - 1):
-                    ids = np.where((ids < 0) | (ids >= len(names) - 1), len(names) - 1, ids)
-                    found = [p for p in names[ids] if p is not None]
-                else:
-                    found = names[ids] if whole else [p for p in names[ids] if p is not None]
-                texts.append(" ".join(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            texts = pa.array(_texts(batch.column(batch.schema.get_field_index("ids")), shared.value), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
 
     kept = encoded.select(*[f"`{c}`" for c in encoded.columns if c != "text"])
     return kept.mapInArrow(join, T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())]))
 
 
+def _pieces(path: str) -> list[str | None]:
+    with open(path, encoding="utf-8") as file:
+        tokenizer = Words(file.read()).tokenizer
+    pieces = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    return [pieces.get(i) for i in range(max(pieces) + 1)]
+
+
+def _texts(lists: pa.ListArray, pieces: list[str | None]) -> Iterator[str]:
+    names = np.array([*pieces, None], object)
+    whole, last = None not in pieces, len(pieces)
+    for k in range(len(lists)):
+        ids = lists[k].values
+        ids = ids.to_numpy(zero_copy_only=False) if ids is not None else np.zeros(0, np.int32)
+        known = not len(ids) or (ids.min() >= 0 and ids.max() < last)
+        found = names[ids if known else np.where((ids < 0) | (ids >= last), last, ids)].tolist()
+        yield " ".join(found if known and whole else [p for p in found if p is not None])
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit numbers), decoded_sha256 (of the decoded text in UTF-8)."""
-    little = F.arrow_udf(_little_endian, "binary")
-    decoded = decode(encode(docs, path), path)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
-
-
-def _little_endian(ids: pa.Array) -> pa.Array:
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    ends = 4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit numbers), decoded_sha256 (of the decoded text in UTF-8).
+
+    The rows are those of `encode`, their texts those of `decode`; only the digests leave the tasks.
+    """
+    encoded = encode(docs, path)
+    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(path))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
+        for batch in batches:
+            lists = batch.column(1)
+            ids = [sha(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in lists]
+            texts = [sha(t.encode()).hexdigest() for t in _texts(lists, shared.value)]
+            n = pa.array(lists.value_lengths(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

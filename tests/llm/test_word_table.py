@@ -59,7 +59,7 @@ def test_given_documents(library, spark, monkeypatch):
 
 def test_long_texts_and_words(library, docs_of, monkeypatch):
     monkeypatch.setattr(word_table, "FREQUENT", 2)
-    monkeypatch.setattr(word_table, "COUNTED", 10)
+    monkeypatch.setattr(word_table, "WORKING", 10)
     monkeypatch.setattr(word_table, "IDS_AT_ONCE", 1000)
     texts = ["word " * 100_000 + "Ω" * 1_000, "x" * 100_000, "".join(f"w{i} " for i in range(20_000))]
     check(library, docs_of(texts), dict(enumerate(texts)))
