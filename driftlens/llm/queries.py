@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import table
 from driftlens.llm.language import identify
+from driftlens.llm.merkle import manifest, without_line_breaks
 from driftlens.llm.mixing import WEIGHTS, language_and_quality, rated
 from driftlens.llm.pii import spans_of
 from driftlens.llm.simhash import near_duplicates
@@ -72,6 +73,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op12_merkle_manifest")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), without_line_breaks())
+
+
 @query("op13_bpe_word_table")
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
