@@ -17,6 +17,7 @@ from driftlens.llm.tiling import matches
 from driftlens.llm.token_counts import token_counts
 from driftlens.llm.toxicity import toxicity
 from driftlens.llm.url_rules import judge
+from driftlens.llm.whitening import whiten
 from driftlens.llm.word_table import digests
 from driftlens.plans.registry import query
 
@@ -73,6 +74,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_embedding_whitening")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_merkle_manifest")
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), without_line_breaks())
