@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lengths, lists_of, numbers, segment_mean
 from driftlens.functions.vectors import let
-from driftlens.operators import pairing
+from driftlens.operators import nearby, pairing
 from driftlens.operators.detectors.base import Scorer, key_columns, label
 from driftlens.operators.detectors.softmax import token_column
+from driftlens.session import checkpoint_dir
 
 KEYS = ["sample_id", "seq_id"]
 
@@ -22,11 +23,7 @@ KEYS = ["sample_id", "seq_id"]
 def cosine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """All cosines; a zero vector has cosine 0 with everything."""
 
-    def unit(rows: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-    return unit(left) @ unit(right).T
+    return _unit(left) @ _unit(right).T
 
 
 def renyi(log_p: np.ndarray, log_q: np.ndarray, alpha: float) -> np.ndarray:
@@ -69,19 +66,44 @@ def nearest(
     "cosine" ranks by highest cosine over ``features``, "renyi" by lowest divergence over log probabilities.
     """
     largest = metric == "cosine"
+    left = queries.select(*key_columns(queries), F.col(features).alias("vector"))
+    right = reference.select(F.col("sample_id").cast("long").alias("partner"), F.col(features).alias("vector"))
+    schema = "sample_id long, seq_id int, partners array<long>, scores array<double>"
+    count, width = right.agg(F.count("*"), F.max(F.size("vector"))).first()
+    small = 8 * count * (width or 0) <= limits.get("small_bytes", pairing.SMALL_REFERENCE_BYTES)
+    if not small and nearby.readable(checkpoint_dir(reference.sparkSession)):
+        measure = _measure(metric, alpha)
+        layout = nearby.lay_out(right, "partner", "vector", measure, limits.get("reference_rows", nearby.BLOCK_ROWS))
+        found = nearby.nearest_of_blocks(left, layout, measure, k, KEYS, "vector", schema)
+        return found.withColumn("scores", F.transform("scores", lambda s: -s)) if largest else found
 
     def emit(keys, mine, others, theirs):
         table = cosine(mine, theirs) if largest else renyi(mine, theirs, alpha)
         partners, scores = pairing.best_partners(table, others, k, largest)
         return {**keys, "partners": lists_of(partners), "scores": lists_of(scores)}
 
-    left = queries.select(*key_columns(queries), F.col(features).alias("vector"))
-    right = reference.select(F.col("sample_id").cast("long").alias("partner"), F.col(features).alias("vector"))
-    schema = "sample_id long, seq_id int, partners array<long>, scores array<double>"
     found, several = pairing.against_reference(left, right, emit, schema, KEYS, "partner", **limits)
     return pairing.merge_partners(found, KEYS, k, largest) if several else found
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _measure(metric: str, alpha: float) -> nearby.Measure:
+    """Cosine falls with the angle. Divergences of any order are at least min(1, alpha / (1 - alpha)) times that of order one half, which
+    is -2 log cos of the angle between the roots of the distributions."""
+    if metric == "cosine":
+        return nearby.Measure(lambda a, b: -cosine(a, b), _unit, lambda angle: -np.cos(np.minimum(angle, np.pi)))
+    share = 1.0 if alpha >= 0.5 else alpha / (1 - alpha)
+
+    def least(angle: np.ndarray) -> np.ndarray:
+        return -2 * share * np.log(np.maximum(np.cos(np.minimum(angle, np.pi / 2)), np.finfo(float).tiny))
+
+    return nearby.Measure(lambda a, b: renyi(a, b, alpha), lambda rows: _unit(np.exp(rows / 2)), least)
+
+
 class CosineProjection(Scorer):
     """Highest cosine to a reference row."""
 

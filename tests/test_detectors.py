@@ -52,7 +52,7 @@ def test_mahalanobis_with_a_singular_covariance(spark):
 def test_blocks_give_what_a_broadcast_gives(points):
     reference = points.where("sample_id < 60")
     close(scores(D.CosineProjection().fit(reference).transform(points)), scores(D.CosineProjection(**BLOCKS).fit(reference).transform(points)))
-    close(scores(D.DataDepth(9).fit(reference).transform(points)), scores(D.DataDepth(9, **BLOCKS).fit(reference).transform(points)))
+    close(scores(D.DataDepth(9).fit(reference).transform(points)), scores(D.DataDepth(9, small_bytes=0, bucket_rows=7).fit(reference).transform(points)))
     logits = points.withColumnRenamed("features", "logits")
     base, split = D.InformationProjection(n_neighbors=3), D.InformationProjection(n_neighbors=3, **BLOCKS)
     close(scores(base.fit(logits.where("sample_id < 60")).transform(logits)), scores(split.fit(logits.where("sample_id < 60")).transform(logits)))
