@@ -1,9 +1,9 @@
 """Detectors: fit on in-distribution outputs, score any outputs."""
 
-from driftlens.operators.detectors.base import BestBeam, Scorer
+from driftlens.operators.detectors.base import BestBeam, Scorer, load_scorer, save_scorer
 from driftlens.operators.detectors.depth import DataDepth
 from driftlens.operators.detectors.forest import FunctionalIsolationForest
-from driftlens.operators.detectors.gaussian import Mahalanobis, fit_gaussian
+from driftlens.operators.detectors.gaussian import Mahalanobis, accumulate_gaussian, fit_gaussian, merge_gaussian
 from driftlens.operators.detectors.projection import BeamRenyiProjection, CosineProjection, InformationProjection
 from driftlens.operators.detectors.softmax import (
     MSP,
@@ -27,5 +27,9 @@ __all__ = [
     "RenyiDataFitted",
     "RenyiNeg",
     "Scorer",
+    "accumulate_gaussian",
     "fit_gaussian",
+    "load_scorer",
+    "merge_gaussian",
+    "save_scorer",
 ]

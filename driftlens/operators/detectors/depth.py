@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lists_of, matrix
@@ -51,7 +51,16 @@ class DataDepth(Scorer):
         self.small_bytes, self.bucket_rows = small_bytes, bucket_rows
 
     def fit(self, reference: DataFrame) -> DataDepth:
-        self.reference = reference.select(F.col("sample_id").cast("long").alias("partner"), F.col(self.features).alias("vector"))
+        return self._use(reference.select(F.col(self.features).alias("vector")))
+
+    def state(self, spark: SparkSession) -> dict[str, DataFrame]:
+        return {"reference": self.reference}
+
+    def restore(self, spark: SparkSession, tables: dict[str, DataFrame]) -> DataDepth:
+        return self._use(tables["reference"])
+
+    def _use(self, reference: DataFrame) -> DataDepth:
+        self.reference = reference
         self.size, width = self.reference.agg(F.count("*"), F.max(F.size("vector"))).first()
         self.directions = directions(self.n_directions, width, self.seed)
         self.sorted = None

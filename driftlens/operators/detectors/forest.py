@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from driftlens.functions.hashing import hash_key
 from driftlens.operators.detectors.base import Scorer, key_columns
 from driftlens.session import materialize
 
+_NODES = "weights array<double>, value double, low int, high int, key string, tree int, node int"
 FREQUENCIES = 8
 EULER_GAMMA = 0.5772156649015329
 
@@ -137,10 +138,22 @@ class FunctionalIsolationForest(Scorer):
             table = pd.DataFrame(nodes, columns=["weights", "value", "low", "high"])
             return table.assign(key=key[0], tree=tree, node=range(len(nodes)))
 
-        schema = "weights array<double>, value double, low int, high int, key string, tree int, node int"
-        grown = self._samples(firsts, totals).groupBy("key", "tree").applyInPandas(grow, schema).collect() if totals else []
+        grown = self._samples(firsts, totals).groupBy("key", "tree").applyInPandas(grow, _NODES).collect() if totals else []
+        return self._use(reference.sparkSession, grown, totals)
+
+    def state(self, spark: SparkSession) -> dict[str, DataFrame]:
+        return {
+            "nodes": spark.createDataFrame([tuple(r) for r in self.nodes], _NODES),
+            "totals": spark.createDataFrame(list(self.totals.items()), "key string, n long"),
+        }
+
+    def restore(self, spark: SparkSession, tables: dict[str, DataFrame]) -> FunctionalIsolationForest:
+        return self._use(spark, tables["nodes"].collect(), {r["key"]: r["n"] for r in tables["totals"].collect()})
+
+    def _use(self, spark: SparkSession, nodes: list, totals: dict[str, int]) -> FunctionalIsolationForest:
+        self.nodes, self.totals = nodes, totals
         trees: dict = {}
-        for row in sorted(grown, key=lambda r: (r["key"], r["tree"], r["node"])):
+        for row in sorted(nodes, key=lambda r: (r["key"], r["tree"], r["node"])):
             trees.setdefault(row["key"], {}).setdefault(row["tree"], []).append(row)
         forests = {
             key: (
@@ -153,11 +166,12 @@ class FunctionalIsolationForest(Scorer):
                     )
                     for nodes in of_key.values()
                 ],
-                average_path(min(size, totals[key])) or 1.0,
+                average_path(min(self.sample_size, totals[key])) or 1.0,
             )
             for key, of_key in trees.items()
         }
-        self.shared = reference.sparkSession.sparkContext.broadcast((forests, depth))
+        depth = math.ceil(math.log2(max(2, self.sample_size)))
+        self.shared = spark.sparkContext.broadcast((forests, depth))
         return self
 
     def _samples(self, firsts: DataFrame, totals: dict[str, int]) -> DataFrame:

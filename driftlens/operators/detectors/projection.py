@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lengths, lists_of, numbers, segment_mean
@@ -113,7 +113,14 @@ class CosineProjection(Scorer):
         self.features, self.limits = features, limits
 
     def fit(self, reference: DataFrame) -> CosineProjection:
-        self.reference = reference
+        self.reference = reference.select(*key_columns(reference), self.features)
+        return self
+
+    def state(self, spark: SparkSession) -> dict[str, DataFrame]:
+        return {"reference": self.reference}
+
+    def restore(self, spark: SparkSession, tables: dict[str, DataFrame]) -> CosineProjection:
+        self.reference = tables["reference"]
         return self
 
     def transform(self, outputs: DataFrame) -> DataFrame:
@@ -148,6 +155,13 @@ class InformationProjection(Scorer):
         self.reference = self._distributions(reference)
         return self
 
+    def state(self, spark: SparkSession) -> dict[str, DataFrame]:
+        return {"reference": self.reference}
+
+    def restore(self, spark: SparkSession, tables: dict[str, DataFrame]) -> InformationProjection:
+        self.reference = tables["reference"]
+        return self
+
     def transform(self, outputs: DataFrame) -> DataFrame:
         best = nearest(
             self._distributions(outputs), self.reference, self.n_neighbors, "renyi", alpha=self.alpha, **self.limits

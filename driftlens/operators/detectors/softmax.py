@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.arrow import lengths, lists_of, numbers, segment_mean, segment_starts
@@ -213,6 +213,9 @@ class RenyiNeg(TokenScorer):
         return score
 
 
+_MEANS = "i int, n long, mean array<double>"  # i-th temperature
+
+
 class RenyiDataFitted(TokenScorer):
     """Rényi divergence to the mean token distribution of the in-distribution outputs."""
 
@@ -226,12 +229,36 @@ class RenyiDataFitted(TokenScorer):
         self.log_q = None
 
     def fit(self, reference: DataFrame) -> RenyiDataFitted:
+        return self._use(reference.sparkSession, *self._mean(reference)[1:])
+
+    def _mean(self, reference: DataFrame) -> tuple:
+        """Number of tokens, and their mean distribution at each temperature."""
         tokens = reference.select(F.explode(token_column(reference, self.mode)).alias("l"))
         averages = [Summarizer.mean(array_to_vector(softmax(F.col("l"), t))) for t in self.temperatures]
-        row = tokens.agg(*averages).first()
+        row = tokens.agg(F.count("*"), *averages).first()
+        return row[0], *(x.toArray() for x in row[1:])
+
+    def accumulate(self, reference: DataFrame, path: str, batch: int) -> None:
+        n, *means = self._mean(reference)
+        if n:
+            rows = [(i, n, mean.tolist()) for i, mean in enumerate(means)]
+            reference.sparkSession.createDataFrame(rows, _MEANS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    def fit_accumulated(self, spark: SparkSession, path: str) -> RenyiDataFitted:
+        weighted = Summarizer.mean(array_to_vector("mean"), F.col("n").cast("double")).alias("mean")
+        rows = spark.read.parquet(path).groupBy("i").agg(weighted).orderBy("i").collect()
+        return self._use(spark, *(r["mean"].toArray() for r in rows))
+
+    def state(self, spark: SparkSession) -> dict[str, DataFrame]:
+        rows = [(i, 1, np.exp(self.log_q.value[t]).tolist()) for i, t in enumerate(self.temperatures)]
+        return {"means": spark.createDataFrame(rows, _MEANS)}
+
+    def restore(self, spark: SparkSession, tables: dict[str, DataFrame]) -> RenyiDataFitted:
+        return self._use(spark, *(np.array(r["mean"]) for r in tables["means"].orderBy("i").collect()))
+
+    def _use(self, spark: SparkSession, *means: np.ndarray) -> RenyiDataFitted:
         with np.errstate(divide="ignore"):
-            logs = {t: np.log(row[i].toArray()) for i, t in enumerate(self.temperatures)}
-        self.log_q = reference.sparkSession.sparkContext.broadcast(logs)
+            self.log_q = spark.sparkContext.broadcast({t: np.log(m) for t, m in zip(self.temperatures, means)})
         return self
 
     def kernel(self):

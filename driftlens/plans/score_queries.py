@@ -22,6 +22,9 @@ from driftlens.plans.registry import query, rounded, six, six_off_ties
 from driftlens.plans.sqlviews import log_softmax, using
 from driftlens.plans.sqlviews import six as six_sql
 from driftlens.plans.sqlviews import six_off_ties as six_off_ties_sql
+from driftlens.session import scratch_path
+from driftlens.sources.bucketed import BucketedRecords
+from driftlens.streaming import upsert_stream
 
 # --- scoring expressions -------------------------------------------------------------------------
 
@@ -288,24 +291,58 @@ def det_mahalanobis(spark, sf_dir):
     return rounded(D.Mahalanobis().fit(rows.where("is_ref")).transform(rows), "score")
 
 
-@query(
-    "agg_fit_class_gaussian",
-    using(
-        "fx_features", "fx_elems",
-        ref="SELECT sample_id, label, i, v FROM fx_elems WHERE is_ref",
-        m="SELECT label, i, avg(v) AS m FROM ref GROUP BY label, i",
-        centred="SELECT sample_id, i, v - m AS d FROM ref JOIN m USING (label, i)",
-        body=f"""SELECT 'mean' AS kind, label::VARCHAR AS label, i::BIGINT AS i, -1::BIGINT AS j, {six_sql('m')} AS value FROM m
-        UNION ALL SELECT 'cov', 'all', a.i, b.i, {six_sql('avg(a.d * b.d)')} FROM centred a JOIN centred b USING (sample_id) GROUP BY a.i, b.i""",
-    ),
+FIT_GAUSSIAN_SQL = using(
+    "fx_features", "fx_elems",
+    ref="SELECT sample_id, label, i, v FROM fx_elems WHERE is_ref",
+    m="SELECT label, i, avg(v) AS m FROM ref GROUP BY label, i",
+    centred="SELECT sample_id, i, v - m AS d FROM ref JOIN m USING (label, i)",
+    body=f"""SELECT 'mean' AS kind, label::VARCHAR AS label, i::BIGINT AS i, -1::BIGINT AS j, {six_sql('m')} AS value FROM m
+    UNION ALL SELECT 'cov', 'all', a.i, b.i, {six_sql('avg(a.d * b.d)')} FROM centred a JOIN centred b USING (sample_id) GROUP BY a.i, b.i""",
 )
-def agg_fit_class_gaussian(spark, sf_dir):
-    fit = D.fit_gaussian(V.features(spark, sf_dir).where("is_ref"))
+
+
+def _fit_rows(spark, fit):
     means = [("mean", fit.labels[c], i, -1, float(v)) for c, row in enumerate(fit.means) for i, v in enumerate(row)]
     covariances = [("cov", "all", i, j, float(v)) for i, row in enumerate(fit.covariance) for j, v in enumerate(row)]
     return rounded(spark.createDataFrame(means + covariances, "kind string, label string, i long, j long, value double"), "value")
 
 
+@query("agg_fit_class_gaussian", FIT_GAUSSIAN_SQL)
+def agg_fit_class_gaussian(spark, sf_dir):
+    return _fit_rows(spark, D.fit_gaussian(V.features(spark, sf_dir).where("is_ref")))
+
+
+@query("agg_fit_accumulated", FIT_GAUSSIAN_SQL)
+def agg_fit_accumulated(spark, sf_dir):
+    """The same fit from statistics of five batches, one of which is given twice."""
+    path = scratch_path(spark, "accumulated")
+    rows = V.features(spark, sf_dir).where("is_ref")
+    for batch in (0, 1, 2, 3, 4, 2):
+        D.accumulate_gaussian(rows.where(F.pmod(F.col("sample_id"), F.lit(10)) == 2 * batch), path, batch)
+    return _fit_rows(spark, D.merge_gaussian(spark, path))
+
+
+@query("det_saved", MAHALANOBIS_SQL)
+def det_saved(spark, sf_dir):
+    """A detector fitted, saved, and loaded by another job for scoring."""
+    rows, path = V.features(spark, sf_dir), scratch_path(spark, "detector")
+    D.save_scorer(spark, D.Mahalanobis().fit(rows.where("is_ref")), path)
+    return rounded(D.load_scorer(spark, path).transform(rows), "score")
+
+
+@query("stream_upsert_scores", MAHALANOBIS_SQL)
+def stream_upsert_scores(spark, sf_dir):
+    """Scores of a stream of output files, upserted by sample: a file of wrong outputs comes first, and what it wrote is replaced."""
+    rows, root = V.features(spark, sf_dir), scratch_path(spark, "stream")
+    wrong = rows.where("sample_id % 5 = 0").withColumn("features", F.transform("features", lambda x: 2 * x))
+    for part in (wrong, *(rows.where(F.pmod(F.col("sample_id"), F.lit(3)) == p) for p in range(3))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    scorer = D.Mahalanobis().fit(rows.where("is_ref"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    upsert_stream(scorer.transform(stream), f"{root}/records", ["sample_id", "seq_id", "detector"], f"{root}/checkpoint").awaitTermination()
+    return rounded(BucketedRecords(spark, f"{root}/records").read(), "score")
+
+
 PROJECTION_SQL = "ln(list_dot_product(list_transform(a.lp, lambda x: exp(alpha * x)), list_transform(b.lp, lambda x: exp((1 - alpha) * x)))) / (alpha - 1)"
 BEAM_GRID = ((0.5, 1.0), (0.5, 2.0), (2, 3))
 
