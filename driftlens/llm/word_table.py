@@ -118,7 +118,7 @@ def _words_of(spec: str) -> Words:
 
 
 def frequent_words(docs: DataFrame, spec: str) -> DataFrame:
-    """word, ids: the FREQUENT most frequent words, in no order."""
+    """word, n, ids: the FREQUENT most frequent words, in no order."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +140,11 @@ def frequent_words(docs: DataFrame, spec: str) -> DataFrame:
         ids_of = _words_of(shared.value).ids
         for batch in batches:
             ids = pa.array([ids_of(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["word", "n", "ids"])
 
     counted = docs.select("text").mapInArrow(summary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     ranked = counted.orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return ranked.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(encode, "word string, ids array<int>")
+    return ranked.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(encode, "word string, n long, ids array<int>")
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -168,7 +168,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select("doc_id", row_key().alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = frequent_words(docs, spec).toArrow()
+    # Frequent words get low numbers, whose high bytes are equal and pack well.
+    common = frequent_words(docs, spec).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     shared = spark.sparkContext.broadcast(spec)
     known = spark.sparkContext.broadcast(common.column("word").to_pylist())
     lists = common.column("ids").combine_chunks()
