@@ -31,8 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of a thousand: with Spark's own ten thousand, a batch may hold more than a task's share of memory."""
+    """Hand texts to Python in batches of a thousand and of 8 MB: with Spark's own bounds, a batch may hold more than a task's share of memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def fold(doc_id: Column) -> Column:

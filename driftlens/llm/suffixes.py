@@ -37,7 +37,10 @@ HOT = 200_000
 BLOCK = 1 << 20
 PIECE = 1 << 22
 PLACE_BITS = 24
-SORTED = 20_000
+SORTED = 5_000
+# Rows whose bytes are gathered at once, and bytes of segments that leave a task at once.
+GATHERED = 4_096
+SEGMENT_BYTES = 4 << 20
 
 _SPAN = WIDTH - SEED + 1  # seeds in a window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -144,13 +147,15 @@ def _segments(candidates: DataFrame) -> DataFrame:
             wanted = [dict(zip(f, h)) for f, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             h1, h2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
+            held = 0
             for i, first, number, anchor, _ in runs(texts):
                 for f, n, a in zip(first.tolist(), number.tolist(), anchor.tolist()):
                     if f in wanted[i]:
                         rows.append((h1[i], h2[i], f, n, a, wanted[i][f], texts[i][f : f + n + WIDTH - 1]))
-                if len(rows) > 50_000:
-                    yield _table(rows)
-                    rows = []
+                        held += n + WIDTH
+                        if held > SEGMENT_BYTES:
+                            yield _table(rows)
+                            rows, held = [], 0
             if rows:
                 yield _table(rows)
 
@@ -187,11 +192,14 @@ def _merged(segments: DataFrame) -> DataFrame:
 def _side(flat: np.ndarray, at: np.ndarray, room: np.ndarray, width: int, step: int) -> np.ndarray:
     """`width` bytes from each place on, forwards or backwards; zeros beyond the segment."""
     reach = np.arange(width)
-    index = at[:, None] + step * reach
-    beyond = reach >= room[:, None]
-    index[beyond] = 0
-    out = flat[index]
-    out[beyond] = 0
+    out = np.empty((len(at), width), np.uint8)
+    for first in range(0, len(at), GATHERED):
+        part = slice(first, first + GATHERED)
+        index = at[part, None] + step * reach
+        beyond = reach >= room[part, None]
+        index[beyond] = 0
+        out[part] = flat[index]
+        out[part][beyond] = 0
     return out
 
 
