@@ -81,35 +81,74 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert (told.lang_pred == told.lang).mean() > 0.98
 
 
-def test_toxic_ratios_equal_the_formula(spark):
-    """Every n-gram's ratio from counts by hand, on a corpus where nothing is pruned for its surroundings."""
-    rng = random.Random(6)
-    folds = in_fold(spark, range(400))
-    ids = [i for i in range(400) if folds[i] != 1]
-    texts = {i: " ".join(rng.choice(["calm", "call", "cold", "warm", "word"]) for _ in range(6)) + (f" {rng.choice('abcdefghijklm')}x vile" if i % 3 == 0 else "") for i in ids}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels).set_index("gram")["ratio"]
+def brute_evidence(training, text):
+    """Log-likelihood differences of every word under both classes, from (text, toxic) pairs by the formula."""
     n = {0: defaultdict(int), 1: defaultdict(int)}
-    for i, text in texts.items():
-        for w in set(text.split()):
+    for t, toxic in training:
+        for w in set(t.split()):
             for g in toxicity.word_grams([w])[0].tolist():
-                n[int(i % 3 == 0)][g & (1 << 64) - 1] += 1
+                n[toxic][g & (1 << 64) - 1] += 1
     every = set(n[0]) | set(n[1])
     low = (1 << 8 * (toxicity.ORDER - 1)) - 1
 
-    def p(kind, g):
-        follow = [x for x in every if x >> 8 == g >> 8]
+    def discount(x):
+        return 2.75 if x > 2 else x
+
+    def p(kind, g, shared):
+        follow = [x for x in every if x >> 8 == g >> 8 and n[kind].get(x)]
         seen = sum(n[kind][x] for x in follow)
-        before = len([x for x in every if x & low == g & low])
-        shared = before / len([x for x in every if (x & low) >> 8 == (g & low) >> 8])
         if not seen:
             return shared
-        return (max(n[kind][g] - 0.75, 0) + 0.75 * sum(n[kind][x] > 0 for x in follow) * shared) / seen
-
-    assert len(model) > 5
-    for g, ratio in model.items():
-        assert ratio == pytest.approx(math.log(p(1, g & (1 << 64) - 1) / p(0, g & (1 << 64) - 1)))
+        own = n[kind].get(g, 0)
+        return (own - discount(own) + sum(discount(n[kind][x]) for x in follow) * shared) / seen
+
+    def value(word):
+        total = 0.0
+        for g in toxicity.word_grams([word])[0].tolist():
+            g &= (1 << 64) - 1
+            before = len([x for x in every if x & low == g & low])
+            shared = before / max(1, len([x for x in every if (x & low) >> 8 == (g & low) >> 8])) or 1e-9
+            total += math.log(p(1, g, shared) / p(0, g, shared))
+        return total
+
+    words = text.split()
+    values = [value(w) for w in words]
+    strongest = sorted({w: v for w, v in zip(words, values) if v > 0}.values(), reverse=True)[: toxicity.STRONGEST]
+    return sum(values) / sum(len(w.encode()) + 1 for w in words), sum(strongest)
+
+
+@pytest.mark.parametrize("head", [1 << 19, 40, 0])
+def test_toxic_evidence_equals_the_formula(spark, monkeypatch, head):
+    """Whole texts, each by the folds that it is not in, however much of the model is joined instead of sent to the tasks."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rng = random.Random(6)
+    folds = in_fold(spark, range(120))
+    texts = {i: " ".join(rng.choice(["calm", "call", "cold", "warm", "wordless"]) for _ in range(6)) + (f" {rng.choice('abc')}x vile vilest" if i % 3 == 0 else "") for i in folds}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    told = toxicity.evidence(docs, toxicity.materialize(toxicity.fit(docs, labels))).collect()
+    assert len(told) == len(texts) + 1
+    learnt = {f: [(texts[i], int(i % 3 == 0)) for i in texts if folds[i] in other] for f, other in ((1, (0, 2)), (0, (2,)), (2, (0,)))}
+    learnt[2] += [(texts[7], 0)] if folds[7] == 0 else []
+    learnt[0] += [(texts[7], 0)] if folds[7] == 2 else []
+    learnt[1] += [(texts[7], 0)] if folds[7] != 1 else []
+    for r in told:
+        if r.doc_id % 5 == 0 or r.doc_id == 7:
+            mean, top = brute_evidence(learnt[folds[r.doc_id]], texts[r.doc_id])
+            assert r.mean == pytest.approx(mean, abs=1e-9) and r.top == pytest.approx(top, abs=1e-9)
+    assert max(r.top for r in told) > 1
+
+
+def test_long_clean_texts_are_kept(spark):
+    """A megabyte of ordinary words has the score of a short ordinary text, and one with a slur in it does not hide it."""
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("acdfgh") + rng.choice("eiou") for _ in range(3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(plain, k=50) + (["vile"] if i % 4 == 0 else []))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    long = " ".join(rng.choices(plain, k=160_000))
+    rows += [(1000, long), (1001, long + " vile")]
+    told = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert len(long) > 1_000_000 and told[1000].predicted == 0 and told[1001].predicted == 1
 
 
 def test_toxicity_rows(spark):
