@@ -76,16 +76,46 @@ def brute_anchors(text):
     return out
 
 
-def test_fingerprints_have_the_least_anchors():
+def test_fingerprints_have_the_least_anchors_and_their_share():
     rng = random.Random(2)
-    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 5, 19, 20, 21, 60, 200, 200)]
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 5, 19, 20, 21, 60, 200, 200, 9000)] + ["é äö ".encode() * 30, b"a" * 500]
     for text, found in zip(texts, syncmers.fingerprints(texts)):
         places = brute_anchors(text)
-        got = [int(x[8:], 16) for x in found.split(".")] if found else []
-        assert set(got) <= set(places) if places else got in ([], [0])
-        assert len(got) == min(len({text[p : p + syncmers.K] for p in places}), syncmers.KEEP) or not places
+        distinct = len({text[p : p + syncmers.K] for p in places})
+        keys, at = syncmers._anchors(found)
+        assert set(at.tolist()) <= set(places or [0]) and (np.diff(keys) > 0).all()
+        assert bool(len(keys)) == bool(text)
+        if places:
+            assert len(keys) == max(min(distinct, syncmers.KEEP), (keys < syncmers._LOW).sum())
+    assert len(syncmers._anchors(syncmers.fingerprints(texts)[8])[0]) > 2 * syncmers.KEEP
     assert syncmers.fingerprints(texts) == [syncmers.fingerprints([t])[0] for t in texts]
-    assert syncmers.likeness("", "") == 1 and syncmers.likeness("", "00000001f") == 0
+    some = syncmers.fingerprints([b"abc"])[0]
+    assert syncmers.likeness("", "") == 1 and syncmers.likeness("", some) == 0 and syncmers.likeness(some, some) == 1
+
+
+def test_passages_are_found_wherever_they_stand():
+    rng = random.Random(8)
+
+    def text(words):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(words))
+
+    found = 0
+    for _ in range(20):
+        one, other, shared = text(8000), text(8000), text(60)
+        a, b = syncmers.fingerprints([f"{one[:20000]} {shared} {one[20000:]}".encode(), f"{other[:30000]} {shared} {other[30000:]}".encode()])
+        found += syncmers.likeness(a, b) > 0
+    assert found >= 16
+    whole = text(2000)
+    inserted, swapped = whole[:6000] + " " + text(20) + " " + whole[6000:], whole[6000:] + whole[:6000]
+    a, b, c, d = syncmers.fingerprints([x.encode() for x in (whole, inserted, swapped, text(2000))])
+    assert syncmers.likeness(a, b) > 0.95 and syncmers.likeness(a, c) > 0.95 and syncmers.likeness(a, d) < 0.05
+
+
+def test_fingerprint_of_a_megabyte():
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcde fgh") for _ in range(1_200_000))
+    a, b = syncmers.fingerprints([long.encode(), (long[:600_000] + long[700_000:]).encode()])
+    assert 0.9 < syncmers.likeness(a, b) < 1
 
 
 def test_edits(spark):
