@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import FILTER_BITS, drop_rows, fold, is_held_out, is_training, keep_likely, row_key, text_batches
+from driftlens.llm.common import drop_rows, fold, is_held_out, is_training, keep_likely, row_key, text_batches
 from driftlens.session import materialize
 
 ORDER = 8
 TOP = 2.75
 # Entries of the model that every task holds, the most frequent ones; the rest is joined.
-HEAD = 1 << 19
+HEAD = 1 << 18
+# Bits of the filter that tells which keys may have a joined entry; with a very large model more keys pass it, in vain.
+TAIL_BITS = 24
 # Different expressions of a document's second term.
 STRONGEST = 3
 # Words that a task holds before it hands over its counts; words in a worker's cache.
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _bit(keys: np.ndarray) -> np.ndarray:
     """A key's place in the bit set of the joined entries."""
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(38)).astype(np.int64)
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
 
 
 def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, DataFrame]:
@@ -200,7 +202,7 @@ def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray,
             break
         least = row["level"]
     in_head = level >= F.lit(float(least))
-    head = model.where(in_head).drop("n").toPandas().sort_values("key")
+    head = model.where(in_head).drop("n").orderBy("key").toPandas()
     tail = model.where(~in_head)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,7 @@ def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray,
             yield pa.RecordBatch.from_pydict({"word": bit >> 6, "one": (np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64)})
 
     told = tail.select("key").mapInArrow(bits, "word long, one long").groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
-    there = np.zeros(FILTER_BITS // 64, np.int64)
+    there = np.zeros((1 << TAIL_BITS) // 64, np.int64)
     there[told["word"].to_numpy(np.int64)] = told["bits"].to_numpy(np.int64)
     values = head[[f"value_{m}" for m in range(len(MODELS))]].to_numpy(np.float64)
     return (head["key"].to_numpy(np.int64), values), there, tail
