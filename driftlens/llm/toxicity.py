@@ -15,29 +15,30 @@ A document is never scored by counts that it is part of: rows of one training fo
 by both. So the curve is fitted to evidence as new documents have it.
 
 The difference splits into a part per context and one per n-gram; both are exactly zero but where some n-gram has three documents. What is left is
-a table that grows with the corpus. Its HEAD most frequent entries go to all tasks; the others are joined to the keys that need them.
+a table that grows with the corpus. Its HEAD most frequent entries are read by all workers; the others are joined to the keys that need them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import drop_rows, fold, is_held_out, is_training, keep_likely, row_key, text_batches
-from driftlens.session import materialize
+from driftlens.session import materialize, scratch_path
 
 ORDER = 8
 TOP = 2.75
-# Entries of the model that every task holds, the most frequent ones; the rest is joined.
-HEAD = 1 << 18
+# Entries of the model that every worker reads from the shared folder and holds, the most frequent ones: 64 MB at most. The rest is joined.
+HEAD = 1 << 21
 # Bits of the filter that tells which keys may have a joined entry; with a very large model more keys pass it, in vain.
 TAIL_BITS = 24
 # Different expressions of a document's second term.
@@ -60,6 +61,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _WORKER: dict = {}
 
 
+def stored(path: str) -> str:
+    """A path of the shared folder as workers open it: a plain one is a file's."""
+    return path if "://" in path or path.startswith("/") else path.removeprefix("file:")
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -191,8 +197,17 @@ def _bit(keys: np.ndarray) -> np.ndarray:
     return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
 
 
-def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, DataFrame]:
-    """(keys and values of at most HEAD frequent entries, bit set of the others, the others)."""
+def _loaded(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of the stored head."""
+    storage, root = fs.FileSystem.from_uri(stored(path))
+    rows = ds.dataset(root, filesystem=storage, format="parquet").to_table()
+    keys = rows["key"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.stack([rows[f"value_{m}"].to_numpy() for m in range(len(MODELS))], 1)[order]
+
+
+def _tiers(model: DataFrame) -> tuple[str, np.ndarray, DataFrame]:
+    """(path of at most HEAD frequent entries, bit set of the others' keys, the others)."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     levels = sorted(model.groupBy(level.alias("level")).count().collect(), reverse=True)  # at most 16 x 63 rows
     least, total = math.inf, 0
@@ -202,7 +217,8 @@ def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray,
             break
         least = row["level"]
     in_head = level >= F.lit(float(least))
-    head = model.where(in_head).drop("n").orderBy("key").toPandas()
+    path = scratch_path(model.sparkSession, "head")
+    model.where(in_head).drop("n").write.parquet(path)
     tail = model.where(~in_head)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +229,18 @@ def _tiers(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray,
     told = tail.select("key").mapInArrow(bits, "word long, one long").groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
     there = np.zeros((1 << TAIL_BITS) // 64, np.int64)
     there[told["word"].to_numpy(np.int64)] = told["bits"].to_numpy(np.int64)
-    values = head[[f"value_{m}" for m in range(len(MODELS))]].to_numpy(np.float64)
-    return (head["key"].to_numpy(np.int64), values), there, tail
+    return path, there, tail
 
 
 def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, key (of the row), held_out, mean (per byte), top (of the strongest expressions): one row per document."""
-    head, there, tail = _tiers(model)
-    name = uuid.uuid4().hex
-    shipped = docs.sparkSession.sparkContext.broadcast((*head, there))
+    path, there, tail = _tiers(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(there)
 
     def known(words: list[str]) -> list[tuple]:
         """Per word: length, value in each model by the head, keys that may have an entry among the others."""
-        keys, values, there = shipped.value
+        keys, values = _WORKER["head"]
+        there = shipped.value
         grams, sizes = word_grams(words)
         both = np.stack([grams, grams & ~np.int64(255)], 1).ravel()
         found = np.zeros((len(both), len(MODELS)))
@@ -246,8 +261,9 @@ def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
         return list(zip(sizes.tolist(), totals, rest))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("model") != name:
-            _WORKER.update(model=name, cache={})
+        if _WORKER.get("model") != path:
+            _WORKER.clear()
+            _WORKER.update(model=path, cache={}, head=_loaded(path))
         cache: dict[str, tuple] = _WORKER["cache"]
         for batch in batches:
             length, total, top, rest = [], [], [], []
