@@ -8,7 +8,6 @@ language that codes it in the fewest bits.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,9 @@ ENTRIES = 1 << 20
 HELD = 1 << 19
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
 
 
 def pieces(texts: list[bytes], size: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            able = [i for i, t in enumerate(texts) if trees.languages and t and _LETTER.search(t)]
+            able = [i for i, t in enumerate(texts) if trees.languages and t and has_letter(t)]
             if able:
                 bits = trees.code_lengths([texts[i].encode() for i in able])
                 best = bits.argmin(axis=1)

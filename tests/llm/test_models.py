@@ -58,6 +58,10 @@ def test_code_lengths_equal_symbol_by_symbol(monkeypatch):
             assert found[i, k] == pytest.approx(brute_bits(training[lang], text))
 
 
+def test_signs_and_numerals_are_no_letters():
+    assert not any(language.has_letter(t) for t in ("", "12 _ !", "½ ² ① Ⅷ 〇")) and all(language.has_letter(t) for t in ("1 é", "语", "ª"))
+
+
 def test_language_rows(spark):
     rng = random.Random(4)
     kinds = {"aa": ["bato", "lumi", "kera"], "bb": ["schn", "gruff", "zwei"]}
