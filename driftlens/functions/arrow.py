@@ -48,3 +48,18 @@ def segment_mean(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         sums = np.add.reduceat(values, segment_starts(sizes)[full], axis=-1)
         out[..., full] = sums / sizes[full]
     return out
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, where each one starts and the last one ends); NULL counts as empty."""
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = filled.buffers()
+    places = np.frombuffer(offsets, np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return flat[places[0] : places[-1]], places - places[0]
+
+
+def texts_of(data: np.ndarray, places: np.ndarray, like: pa.Array) -> pa.Array:
+    """The reverse of `text_bytes`, of the type of `like` and NULL where that is."""
+    whole = pa.Array.from_buffers(pa.large_string(), len(like), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
+    return pc.if_else(like.is_valid(), whole, None).cast(like.type)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftlens.functions.vectors import let
+from driftlens.functions.arrow import segment_starts
 
 
 def _as_column(part) -> Column:
@@ -17,19 +21,19 @@ def hash_hex(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[_as_column(p).cast("string") for p in parts]))
 
 
-def draws(n: Column, *parts) -> Column:
-    """n draws as eight hex digits each; one md5 gives four of them."""
-
-    def four(k: Column) -> Column:
-        return let(hash_hex(*parts, k), lambda h: F.array(*[F.substring(h, at, 8) for at in (1, 9, 17, 25)]))
-
-    quads = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), four)
-    return F.slice(F.flatten(quads), F.lit(1), n)
-
+def hits(sizes: np.ndarray, keys: Sequence[str | None], name: str, p: float) -> np.ndarray:
+    """Whether the draw of each item has probability p; row i has sizes[i] items, the rows follow each other.
 
-def threshold(p: float) -> Column:
-    """A draw below this has probability p ('g' lies above every hex digit)."""
-    return F.lit("g" if p >= 1 else format(int(p * 2**32), "08x"))
+    A draw is eight hex digits of hash_hex(name, key, k // 4), so one md5 gives four of them and any SQL engine the same ones.
+    """
+    quads = (sizes + 3) // 4
+    starts = [f"{name}:" if key is None else f"{name}:{key}:" for key in keys]
+    digests = (md5(f"{start}{k}".encode(), usedforsecurity=False).digest() for start, n in zip(starts, quads.tolist()) for k in range(n))
+    dice = np.frombuffer(b"".join(digests), ">u4")
+    # The last md5 of a row may give more draws than are left to make.
+    surplus = 4 * quads - sizes
+    spare = np.repeat(np.cumsum(4 * quads) - surplus - segment_starts(surplus), surplus) + np.arange(surplus.sum())
+    return np.delete(dice, spare) < np.uint64(int(min(p, 1.0) * 2**32))
 
 
 def hash_key(*parts) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftlens.session import broadcast_if_small
+
 BLOCK_TURNS = 256
 
 
@@ -21,7 +23,8 @@ def accumulate_dialog(
 
     Turn numbers are unique integers per dialog. Prefixes are built per block of turns, so a long dialog
     is spread over its blocks; only the block texts of one dialog meet, and those are no longer than the
-    source of its last row.
+    source of its last row. Which dialogs have several blocks is found without texts, and only theirs are
+    carried from block to block: the others are shuffled once.
     """
     turns = df.select(dialog, turn, text).withColumn("_block", F.call_function("div", F.col(turn).cast("long"), F.lit(block_turns).cast("long")))
     inside = W.partitionBy(dialog, "_block").orderBy(turn)
@@ -33,8 +36,12 @@ def accumulate_dialog(
         F.array_join(F.collect_list(F.concat(F.col(text), F.lit(eos))).over(so_far), "").alias("_prefix"),
         F.lead(text).over(inside).alias("_next"),
     )
-    # What a block needs from its neighbours; dialogs of one block drop out here.
-    blocks = turns.groupBy(dialog, "_block").agg(
+    several = turns.groupBy(dialog).agg(F.min("_block").alias("_low"), F.max("_block").alias("_high")).where("_low < _high").select(dialog)
+    several = broadcast_if_small(several)
+    if several.isEmpty():
+        return local.where(F.col("_next").isNotNull()).select(dialog, turn, F.col("_prefix").alias("source"), F.col("_next").alias("target"))
+    # What a block needs from its neighbours.
+    blocks = turns.join(several, dialog, "left_semi").groupBy(dialog, "_block").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.concat(F.col(text), F.lit(eos)).alias("x")))),
@@ -51,7 +58,7 @@ def accumulate_dialog(
         "_block",
         F.array_join(F.collect_list("_text").over(earlier), "").alias("_before"),
         F.lead("_first").over(along).alias("_after"),
-    ).where((F.col("_before") != "") | F.col("_after").isNotNull())
+    )
     return (
         local.join(joints, [dialog, "_block"], "left")
         .withColumn("target", F.coalesce("_next", "_after"))

@@ -129,12 +129,16 @@ def _named(df: DataFrame, keys: Sequence[str], struct: Column, name: str) -> Dat
     )
 
 
+def _sequence_scores(pairs: DataFrame, hyp: str, ref: str, tokenizer: Tokenizer, keys: Sequence[str]) -> DataFrame:
+    score = F.pandas_udf(lcs_rouge, PRF)
+    return _named(pairs, keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+
+
 def rouge_l(
     pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """rougeL over whole texts; long ones are costly and are dealt out evenly first."""
-    score = F.pandas_udf(lcs_rouge, PRF)
-    return _named(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+    return _sequence_scores(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), hyp, ref, tokenizer, keys)
 
 
 def sentences(text: Column) -> Column:
@@ -142,27 +146,29 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[\n.]+"), lambda s: F.trim(s) != "")
 
 
-def rouge_lsum(
-    pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """rougeLsum: union LCS per reference sentence over all hypothesis sentences."""
+def _union_scores(pairs: DataFrame, hyp: str, ref: str, tokenizer: Tokenizer, keys: Sequence[str]) -> DataFrame:
     score = F.pandas_udf(lcs_rouge_sum, PRF)
 
     def tokens(column: str) -> Column:
         return F.transform(sentences(F.col(column)), tokenizer)
 
-    return _named(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+    return _named(pairs, keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+
+
+def rouge_lsum(
+    pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """rougeLsum: union LCS per reference sentence over all hypothesis sentences."""
+    return _union_scores(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), hyp, ref, tokenizer, keys)
 
 
 def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row: mean F-measures of all pairs, texts stripped first."""
-    stripped = pairs.withColumns({hyp: F.trim(hyp), ref: F.trim(ref)})
-    grams = rouge_n(stripped, (1, 2), hyp, ref, keys=keys).agg(
-        F.avg("rouge1_fmeasure").alias("rouge1"), F.avg("rouge2_fmeasure").alias("rouge2")
-    )
-    sequence = rouge_l(stripped, hyp, ref, keys=keys).agg(F.avg("rougeL_fmeasure").alias("rougeL"))
-    union = rouge_lsum(stripped, hyp, ref, keys=keys).agg(F.avg("rougeLsum_fmeasure").alias("rougeLsum"))
-    return grams.select("*", sequence.scalar().alias("rougeL"), union.scalar().alias("rougeLsum"))
+    """One row: mean F-measures of all pairs, texts stripped first. One scan; each pair is dealt out once and scored where it lands."""
+    texts = dealt(pairs.select(*keys, F.trim(hyp).alias(hyp), F.trim(ref).alias(ref)), *keys[:2])
+    scored = rouge_n(texts, (1, 2), hyp, ref, keys=[*keys, hyp, ref])
+    for add in (_sequence_scores, _union_scores):
+        scored = add(scored, hyp, ref, rouge_words, scored.columns)
+    return scored.agg(*[F.avg(f"{name}_fmeasure").alias(name) for name in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
 
 
 def stemmed(tokenizer: Tokenizer, pairs: DataFrame, stem_map: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

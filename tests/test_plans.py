@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.functions.text import words
-from driftlens.operators import aggregates, metrics, perturb, splits
+from driftlens.operators import aggregates, dialog, metrics, perturb, splits
 from driftlens.operators import detectors as D
 from driftlens.operators.splits import Piece
 from driftlens.plans.evaluation import evaluate_classification, evaluate_generation
@@ -66,3 +66,24 @@ def test_only_needed_columns_are_read(outputs):
 def test_stratified_split_broadcasts_only_counted_cuts(outputs):
     made = splits.split_stratified(outputs.select(F.col("sample_id").alias("row_id"), "label"), "label")
     assert "BroadcastHashJoin" in plan(made) and "Window" not in plan(made) and "Sort" not in plan(made)
+
+
+def test_dialogs_of_one_block_are_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "dialogs")
+    spark.range(60).select((F.col("id") % 7).alias("conv_id"), F.expr("id div 7").alias("turn"), F.concat(F.lit("t"), "id").alias("text")).write.parquet(path)
+    turns = spark.read.parquet(path)
+    short = dialog.accumulate_dialog(turns)
+    assert plan(short).count("Exchange hashpartitioning") == 1 and "Join" not in plan(short)
+    long = dialog.accumulate_dialog(turns, block_turns=4)
+    assert sorted(short.collect()) == sorted(long.collect()) and short.count() == 60 - 7
+
+
+def test_corpus_rouge_reads_its_pairs_once(outputs):
+    means = metrics.corpus_rouge(outputs)
+    assert plan(means).count("FileScan") == 1 and plan(means).count("Exchange hashpartitioning") == 1
+    own = [
+        metrics.rouge_n(outputs).agg(F.avg("rouge1_fmeasure"), F.avg("rouge2_fmeasure")).first(),
+        metrics.rouge_l(outputs).agg(F.avg("rougeL_fmeasure")).first(),
+        metrics.rouge_lsum(outputs).agg(F.avg("rougeLsum_fmeasure")).first(),
+    ]
+    assert list(means.first()) == pytest.approx([x for row in own for x in row])

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,30 @@ def test_perturbations(spark):
     assert [tuple(r) for r in never.orderBy("row_id").collect()] == [(1, "Straße ab cd ef", "Straße  ab cd\tef"), (2, "", "")]
 
 
+def brute_draw(name, key, k):
+    return md5(":".join([name, *([] if key is None else [str(key)]), str(k // 4)]).encode()).hexdigest()[k % 4 * 8 :][:8]
+
+
+@pytest.mark.parametrize("block", [1, 20, 1 << 20])
+def test_perturbations_follow_the_draws(spark, monkeypatch, block):
+    monkeypatch.setattr(perturb, "BLOCK_BYTES", block)
+    limit = format(int(0.4 * 2**32), "08x")
+    texts = ["", None, "a", "fünf Wörter über 𝄞 Noten", " \t\n ", "日本語 テキスト", "x y z " * 200, "same words", "same words"]
+    rows = [(None if i == 8 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_id long, text string").repartition(2)
+    got = df.select("*", *[f(F.col("text"), F.col("row_id"), 0.4, 7).alias(n) for n, f in (("d", perturb.delete_chars), ("u", perturb.upper_words))])
+    want = {}
+    for row, text in rows:
+        thin = text and "".join(c for k, c in enumerate(text) if brute_draw("7c", row, k) >= limit)
+        upper = None if text is None else " ".join(w.upper() if brute_draw("7w", row, k) < limit else w for k, w in enumerate(text.split()))
+        want[row] = (text, thin, upper)
+    assert {r["row_id"]: (r["text"], r["d"], r["u"]) for r in got.collect()} == want
+
+
+def test_perturbing_no_rows(spark):
+    assert perturb.perturb(spark.createDataFrame([], "row_id long, source string"), "hallucination").collect() == []
+
+
 def test_instruction_or_hallucination(spark):
     df = spark.createDataFrame([(1, "abc")], "row_id long, source string")
     assert perturb.perturb(df, None, "Do: ").first()["source"] == "Do: abc"
