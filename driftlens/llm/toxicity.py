@@ -43,9 +43,10 @@ HEAD = 1 << 21
 TAIL_BITS = 24
 # Different expressions of a document's second term.
 STRONGEST = 3
-# Words that a task holds before it hands over its counts; words in a worker's cache.
+# Words that a task holds before it hands over its counts; words in a worker's cache; words looked up at once.
 HELD = 100_000
-CACHE = 200_000
+CACHE = 1 << 17
+AT_ONCE = 10_000
 # Steps of both terms, and how far they go, where the curve is fitted.
 MEAN_STEP, MEAN_END = 0.01, 1.0
 TOP_STEP, TOP_END = 0.25, 100.0
@@ -200,10 +201,21 @@ def _bit(keys: np.ndarray) -> np.ndarray:
 def _loaded(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys in order and values of the stored head."""
     storage, root = fs.FileSystem.from_uri(stored(path))
-    rows = ds.dataset(root, filesystem=storage, format="parquet").to_table()
-    keys = rows["key"].to_numpy()
+    files = ds.dataset(root, filesystem=storage, format="parquet")
+    names = ["key", *[f"value_{m}" for m in range(len(MODELS))]]
+    n, at = files.count_rows(), 0
+    keys, values = np.empty(n, np.int64), np.empty((n, len(MODELS)))
+    for batch in files.to_batches(columns=names, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        to = at + batch.num_rows
+        keys[at:to] = batch.column(0).to_numpy()
+        for m in range(len(MODELS)):
+            values[at:to, m] = batch.column(m + 1).to_numpy()
+        at = to
+    pa.default_memory_pool().release_unused()
     order = np.argsort(keys)
-    return keys[order], np.stack([rows[f"value_{m}"].to_numpy() for m in range(len(MODELS))], 1)[order]
+    for m in range(len(MODELS)):  # one column at a time: no second copy of the whole
+        values[:, m] = values[order, m]
+    return keys[order], values
 
 
 def _tiers(model: DataFrame) -> tuple[str, np.ndarray, DataFrame]:
@@ -274,7 +286,9 @@ def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
                     if len(cache) > CACHE:
                         cache.clear()
                         new = list(words)
-                    cache.update(zip(new, known(new)))
+                    for k in range(0, len(new), AT_ONCE):
+                        some = new[k : k + AT_ONCE]
+                        cache.update(zip(some, known(some)))
                 size, value, single, later = 0, 0.0, [], []
                 for w, times in words.items():
                     of, values, keys = cache[w]
