@@ -1,21 +1,21 @@
 """Personal data: patterns, and terms that the corpus shows to reveal them. DataFrame functions only.
 
-Every value that a pattern finds (an address, a number) is a protected entity. A term near it (same line, WINDOW code points) reveals it as far
-as the corpus lets one conclude from the term to the entity: with document counts n over N documents, the pointwise mutual information
-log(n(t, e) N / (n(t) n(e))) divided by the entity's own information log(N / n(e)). At GENERALISE or more the term is a span
-too, and is written as a placeholder; at REMOVE or more it is cut out. A pair counts from SUPPORT documents on.
-Terms are marked only near the entity that they reveal, so a text without personal data stays as it is.
+Every value that a pattern finds (an address, a number) is a protected entity. A term (a word of three letters or more) anywhere in a document
+with the entity reveals it as far as the corpus lets one conclude from the term to the entity: with document counts n over N documents, the
+pointwise mutual information log(n(t, e) N / (n(t) n(e))) divided by the entity's own information log(N / n(e)). At GENERALISE or more every
+occurrence of the term in documents with the entity is a span too, and is written as a placeholder; at REMOVE or more it is cut out. A pair
+counts from SUPPORT documents on. A text without personal data stays as it is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftlens.functions.vectors import let
 from driftlens.session import materialize
 
-WINDOW = 48
 SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -32,7 +32,7 @@ KINDS = list(PATTERNS)
 TERM = r"\p{L}{3,}+"
 _PLACE = "array<struct<start:int,end:int,value:string>>"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
-_NEAR = "array<struct<entity:bigint,term:string,start:int,end:int>>"
+_REVEALING = "array<struct<start:int,end:int,ratio:double>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -103,79 +103,98 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(span["value"]))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """Terms of three letters or more around each span, on its line; words that the window cuts, and such as overlap a span, are left out."""
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base: one pass of the patterns over whole texts (NULL: empty)."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
 
-    def around(span: Column) -> Column:
-        room = F.least(span["start"], F.lit(WINDOW))
-        before = F.substring_index(F.substring(text, span["start"] - room + 1, room), "\n", -1)
-        before = F.when(F.char_length(before) == WINDOW, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.substring_index(F.substring(text, span["end"] + 1, F.lit(WINDOW)), "\n", 1)
-        after = F.when(F.char_length(after) == WINDOW, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
 
-        def shifted(part: Column, by: Column) -> Column:
-            return F.transform(
-                located(part, TERM),
-                lambda t: F.struct(
-                    _entity(span).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")
-                ),
-            )
+def _words(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    long = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.char_length(w) >= 3)
+    return F.array_distinct(F.transform(long, F.lower))
 
-        return let(before, lambda part: shifted(part, span["start"] - F.char_length(part))), let(after, lambda part: shifted(part, span["end"]))
 
-    found = F.flatten(F.transform(spans, lambda s: F.concat(*around(s)))).cast(_NEAR)
-    free = F.filter(found, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    return F.when(F.size(spans) == 0, F.array().cast(_NEAR)).otherwise(free)
+def _text_set() -> list[Column]:
+    """128 bits that tell which different texts a group has; each text is there once."""
+    return [F.bit_xor(F.xxhash64("text_id", F.lit(salt))) for salt in (0, 1)]
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_hash, base: one pass of the patterns over whole texts (NULL: empty)."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("base"))
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, ratio: the pairs at GENERALISE or more. `near` has doc_id, text_hash, terms per document with personal data."""
-    pairs = near.select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"], t["term"])))).alias("pair"))
-    joint = pairs.groupBy(F.col("pair.entity").alias("entity"), F.col("pair.term").alias("term")).agg(F.count("*").alias("n_both"))
-    joint = joint.where(F.col("n_both") >= SUPPORT)
-    entities = near.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def revealing_terms(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_id, term, ratio: for each text its terms at GENERALISE or more for one of its entities, with the highest ratio.
+
+    `texts` has text_id, n (its documents), text, base per different text with personal data. Entities that are in the same texts, and terms
+    that are, meet as one, so neither copies nor long texts multiply pairs. As n(t, e) <= n(e), only terms with n(t) <= n(e)^G N^(1 - G)
+    can reach a ratio of G; others are left out before they meet.
+    """
     documents = docs.count()
-    own = F.log(F.lit(float(documents)) / F.col("n_entity"))
+
+    def limit(n_entity: Column) -> Column:
+        return F.pow(n_entity, F.lit(GENERALISE)) * documents ** (1 - GENERALISE) * (1 + 1e-9)
+
+    entities = texts.select("text_id", "n", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    first, second = _text_set()
+    shared = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"), first.alias("e0"), second.alias("e1"))
+    shared = shared.where((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") < documents))
+    groups = materialize(entities.join(shared, "entity").select("text_id", "n_entity", "e0", "e1").distinct())
+    most = groups.agg(F.max("n_entity")).first()[0] or 0
+
+    counts = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = counts.where((F.col("n_term") >= SUPPORT) & (F.col("n_term") <= limit(F.lit(most))))
+    held = texts.join(groups.select("text_id").distinct(), "text_id", "left_semi")
+    held = materialize(held.select("text_id", "n", F.explode(_words(F.col("text"))).alias("term")).join(counts, "term"))
+    kinds = held.groupBy("term").agg(first.alias("t0"), second.alias("t1"))
+    held = materialize(held.join(kinds, "term"))
+
+    meetings = held.select("text_id", "n", "n_term", "t0", "t1").distinct().join(groups, "text_id").where(F.col("n_term") <= limit(F.col("n_entity")))
+    pair = ["e0", "e1", "n_entity", "t0", "t1", "n_term"]
     told = F.log(F.col("n_both") * F.lit(float(documents)) / (F.col("n_term") * F.col("n_entity")))
-    ratio = F.when(own > 0, told / own).otherwise(0.0)
-    return (
-        joint.join(entities, "entity")
-        .join(terms, "term")
-        .select("entity", "term", ratio.alias("ratio"))
+    ratios = (
+        meetings.groupBy(*pair).agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+        .select(*pair, (told / F.log(F.lit(float(documents)) / F.col("n_entity"))).alias("ratio"))
         .where(F.col("ratio") >= GENERALISE)
     )
+    term = ["text_id", "t0", "t1", "n_term"]
+    best = meetings.join(ratios, pair).groupBy(*term).agg(F.max("ratio").alias("ratio"))
+    return materialize(held.join(best, term).select("text_id", "term", "ratio"))
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """text_id, term, start, end: every term of the texts (text_id, text, base) that overlaps no base span. Sorted sweeps: time grows with the text."""
+    gaps, found = F.split("text", TERM), F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    words = texts.select("text_id", F.posexplode(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(F.char_length(g).alias("gap"), v.alias("value")))))
+    size = F.char_length("col.value")
+    end = F.sum(F.col("col.gap") + size).over(W.partitionBy("text_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    words = words.select("text_id", F.lower("col.value").alias("term"), size.alias("size"), end.cast("int").alias("end"))
+    none = F.lit(None)
+    spans = texts.select("text_id", F.explode("base").alias("s")).select(
+        "text_id", F.col("s.start").alias("at"), F.lit(0).alias("later"), F.col("s.end").alias("reach"), none.cast("string").alias("term"), none.cast("int").alias("start"), none.cast("int").alias("end")
+    )
+    words = words.select("text_id", (F.col("end") - 1).alias("at"), F.lit(1).alias("later"), none.cast("int").alias("reach"), "term", (F.col("end") - F.col("size")).alias("start"), "end")
+    so_far = W.partitionBy("text_id").orderBy("at", "later").rowsBetween(W.unboundedPreceding, 0)
+    swept = spans.unionAll(words).withColumn("reach", F.coalesce(F.max("reach").over(so_far), F.lit(0)))
+    return swept.where((F.col("later") == 1) & (F.col("reach") <= F.col("start"))).select("text_id", "term", "start", "end")
+
+
+def _hash(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, base per document; doc_id, text_hash, revealing: term spans with their ratio, where there are any)."""
-    seen = marked(docs).select("doc_id", "text_hash", "base", near_terms(F.col("text"), F.col("base")).alias("terms"))
-    seen = materialize(seen)
-    near = seen.where(F.size("base") > 0)
-    revealing = disclosing_terms(docs, near)
-    spots = near.select("doc_id", "text_hash", F.explode(F.array_distinct("terms")).alias("t")).select("doc_id", "text_hash", "t.*")
-    places = (
-        spots.join(revealing, ["entity", "term"])
-        .groupBy("doc_id", "text_hash", "start", "end")
-        .agg(F.max("ratio").alias("ratio"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("revealing"))
-    )
-    return seen.select("doc_id", "text_hash", "base"), places
+    """(doc_id, base, text_hash, the last for documents with personal data; text_hash, revealing: term spans with their ratio, where there are any)."""
+    held = F.size("base") > 0
+    seen = materialize(marked(docs).select("doc_id", "base", F.when(held, F.col("text")).alias("text"), F.when(held, _hash(F.col("text"))).alias("text_hash")))
+    texts = seen.where(held).groupBy("text_hash").agg(F.count("*").alias("n"), F.first(F.struct("text", "base")).alias("t"))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("text_id"), "text_hash", "n", "t.*"))
+    revealing = revealing_terms(docs, texts)
+    spots = occurrences(texts.join(revealing.select("text_id").distinct(), "text_id", "left_semi")).join(revealing, ["text_id", "term"])
+    places = spots.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("revealing"))
+    return seen.drop("text"), texts.select("text_id", "text_hash").join(places, "text_id").drop("text_id")
 
 
 def _with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    other = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "revealing")
-    joined = rows.join(other, rows.doc_id.eqNullSafe(other._id) & (rows.text_hash == other._hash), "left").drop("_id", "_hash")
-    return joined.withColumn("revealing", F.coalesce("revealing", F.array().cast("array<struct<start:int,end:int,ratio:double>>")))
+    joined = rows.join(places, "text_hash", "left").drop("text_hash")
+    return joined.withColumn("revealing", F.coalesce("revealing", F.array().cast(_REVEALING)))
 
 
 def _all_spans(base: Column, revealing: Column) -> Column:
@@ -199,7 +218,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     Spans of different kinds may overlap. Other columns are not read; an empty table gives an empty table.
     """
     seen, places = find(docs)
-    rows = _with_places(seen, places)
+    plain = seen.where(F.size("base") == 0).select("doc_id", "base", F.array().cast(_REVEALING).alias("revealing"))
+    rows = plain.unionByName(_with_places(seen.where(F.size("base") > 0), places))
 
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -238,9 +258,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     _, places = find(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), row.alias("row"))
+    rows = docs.select(text.alias("text"), base_spans(text).alias("base"), row.alias("row"))
     untouched = rows.where(F.size("base") == 0).select("row.*")
-    touched = _with_places(rows.where(F.size("base") > 0), places)
+    touched = _with_places(rows.where(F.size("base") > 0).withColumn("text_hash", _hash(F.col("text"))), places)
     clean = sanitised(F.col("text"), _all_spans(F.col("base"), F.col("revealing")))
     touched = touched.select("row", clean.alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
