@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +81,12 @@ def shared_ngrams(first: Column, second: Column, n_max: int) -> Column:
         return lists_of(out)
 
     return F.arrow_udf(count, "array<long>")(first, second)
+
+
+def joined_stems(lists: pa.Array, names: pa.Array, stems: pa.Array) -> pa.Array:
+    """Every token list as one text, each token that is among `names` as its stem."""
+    flat = pc.cast(lists.flatten(), pa.large_string())
+    found = pc.index_in(flat, value_set=pc.cast(names, pa.large_string()))
+    told = pc.coalesce(pc.cast(stems, pa.large_string()).take(found), flat)
+    places = np.concatenate([[0], np.cumsum(lengths(lists))])
+    return pc.cast(pc.binary_join(pa.LargeListArray.from_arrays(pa.array(places, pa.int64()), told), pa.scalar(" ", pa.large_string())), pa.string())

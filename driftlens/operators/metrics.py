@@ -9,20 +9,25 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftlens.functions.lcs import rouge_l as lcs_rouge
 from driftlens.functions.lcs import rouge_lsum as lcs_rouge_sum
-from driftlens.functions.text import mteval_words, rouge_words, shared_ngrams
+from driftlens.functions.text import joined_stems, mteval_words, rouge_words, shared_ngrams
 from driftlens.operators import pairing
 from driftlens.operators.detectors.projection import cosine
-from driftlens.session import broadcast_if_small, dealt
+from driftlens.session import BROADCAST_ROWS, dealt, is_small, materialize
 
 KEYS = ("sample_id", "seq_id")
 PRF = "precision double, recall double, fmeasure double"
 Tokenizer = Callable[[Column], Column]
 
+# Texts that look up their stems together, where the table of stems is large.
+STEM_BLOCK_BYTES = 4 << 20
+
 
 def ngram_overlap(
     pairs: DataFrame, tokenizer: Tokenizer, max_n: int, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS
@@ -171,22 +176,49 @@ def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Seq
     return scored.agg(*[F.avg(f"{name}_fmeasure").alias(name) for name in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
 
 
-def stemmed(tokenizer: Tokenizer, pairs: DataFrame, stem_map: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+def stemmed(
+    tokenizer: Tokenizer,
+    pairs: DataFrame,
+    stem_map: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    max_broadcast: int = BROADCAST_ROWS,
+    block_bytes: int = STEM_BLOCK_BYTES,
+) -> DataFrame:
     """Replace each text by its stemmed tokens, joined by spaces, with a (token, stem) table.
 
-    Tokens the table does not hold stay as they are.
+    Tokens the table does not hold stay as they are; several stems of a token follow each other in order. A small table is sent to all
+    tasks and no row moves. With a larger one, texts meet in blocks, of which only the different tokens are joined to the table.
     """
-    stems_by_token = broadcast_if_small(stem_map.select("token", "stem"))
-    result = pairs
-    for column in columns:
-        tokens = pairs.select(*keys, F.posexplode(tokenizer(F.col(column))).alias("_pos", "token"))
-        stems = tokens.join(stems_by_token, "token", "left")
-        texts = stems.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("stem", "token").alias("t")))).alias("_t")
-        )
-        text = F.array_join(F.transform("_t", lambda s: s["t"]), " ")
-        result = result.drop(column).join(texts.select(*keys, text.alias(column)), list(keys), "left").fillna("", [column])
-    return result
+    own = F.coalesce("stem", "token")
+    stems = stem_map.where("token IS NOT NULL").groupBy("token").agg(F.array_join(F.array_sort(F.collect_list(own)), " ").alias("stem"))
+    stems = materialize(stems.where(F.col("token") != F.col("stem")))
+    others = [c for c in pairs.columns if c not in keys and c not in columns]
+    tokens = [F.coalesce(tokenizer(F.col(c)), F.array().cast("array<string>")).alias(c) for c in columns]
+    if is_small(stems, max_broadcast):
+        table = stems.toArrow()
+        shared = pairs.sparkSession.sparkContext.broadcast(tuple(table[c].combine_chunks() for c in ("token", "stem")))
+
+        def look(lists: pa.Array) -> pa.Array:
+            return joined_stems(lists, *shared.value)
+
+        texts = F.arrow_udf(look, "string")
+        return pairs.select(*keys, *others, *tokens).select(*keys, *others, *[texts(F.col(c)).alias(c) for c in columns])
+
+    content = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns)
+    n_blocks = max(1, (pairs.agg(F.sum(content)).first()[0] or 0) // block_bytes)
+    rows = pairs.select(*keys, *others, *tokens, F.pmod(F.xxhash64(*keys), F.lit(n_blocks)).alias("_block"))
+    # Rows of a block lie together before its tokens are made distinct, so a token leaves a block once.
+    seen = dealt(rows.select("_block", F.array_distinct(F.concat(*columns)).alias("_t")), "_block")
+    seen = seen.select(F.col("_block").alias("_of"), F.explode("_t").alias("token")).distinct().join(stems, "token")
+    schema = T.StructType([pairs.schema[c] for c in (*keys, *others)] + [T.StructField(c, T.StringType()) for c in columns])
+
+    def stem(block: pa.Table, known: pa.Table) -> pa.Table:
+        names, values = (known[c].combine_chunks() for c in ("token", "stem"))
+        changed = {c: joined_stems(block[c].combine_chunks(), names, values) for c in columns}
+        return pa.table({c: changed.get(c, block[c]) for c in schema.names})
+
+    return rows.groupBy("_block").cogroup(seen.groupBy("_of")).applyInArrow(stem, schema)
 
 
 def bert_greedy(

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from hashlib import md5
 
@@ -187,6 +188,10 @@ def test_metrics_on_known_pairs(spark):
     assert abs(metrics.corpus_bleu(df.where("sample_id = 0")).first()["bleu"] - 100) < 1e-9
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stems_come_from_a_table(spark):
     df = spark.createDataFrame([(0, 0, "Cats sat", "cat sits")], "sample_id long, seq_id int, hyp string, ref string")
     stems = spark.createDataFrame([("cats", "cat"), ("sits", "sit"), ("sat", "sit")], "token string, stem string")
@@ -195,6 +200,29 @@ def test_stems_come_from_a_table(spark):
     assert plain == 0 and stemmed == 1
 
 
+@pytest.mark.parametrize("how", [{}, {"max_broadcast": 0}, {"max_broadcast": 0, "block_bytes": 60}])
+def test_stems_of_many_rows(spark, how):
+    rng = random.Random(9)
+    tokens = [c + d for c in "abcd" for d in "wxyz"]
+    rows = [(i // 3, i % 3, i, *(" ".join(rng.choice(tokens) for _ in range(rng.randrange(12))) for _ in range(2))) for i in range(60)]
+    rows += [(70, 0, 70, None, "aw  zz"), (71, 0, 71, "", None), (72, 0, 72, "é 日本", "ÀW aw")]
+    df = spark.createDataFrame(rows, "sample_id long, seq_id int, more long, hyp string, ref string").repartition(3)
+    stem = {t: t[0] for t in tokens[:10]}
+    table = spark.createDataFrame([*stem.items(), (None, "n"), ("zz", None)], "token string, stem string")
+    got = metrics.stemmed(words, df, table, ["hyp", "ref"], **how)
+    assert got.columns == df.columns
+    want = [(*r[:3], *(" ".join(stem.get(t, t) for t in (x or "").split()) for x in r[3:])) for r in rows]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_stems_of_a_small_table_move_no_row(spark):
+    """Also a token table whose every row is kept: texts are stemmed where they are, without a shuffle of tokens."""
+    df = spark.createDataFrame([(0, 0, "Cats sat", "cat sits")], "sample_id long, seq_id int, hyp string, ref string")
+    stems = spark.createDataFrame([("cats", "cat"), ("sits", "sit"), ("sat", "sit"), ("cat", "cat")], "token string, stem string")
+    plan = plan_of(metrics.stemmed(rouge_words, df, stems, ["hyp", "ref"]))
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_words_split_like_python(spark):
     text = " a b c\x1cd\x85e\n\tf "
     assert spark.createDataFrame([(text,)], "t string").select(words(F.col("t"))).first()[0] == text.split()
