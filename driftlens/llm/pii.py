@@ -237,17 +237,21 @@ def spans_of(docs: DataFrame) -> DataFrame:
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span written as [KIND], and terms at REMOVE or more cut out. Of overlapping spans the first stays; the rest of a later one goes too."""
 
-    def step(state: Column, s: Column) -> Column:
-        start = F.greatest(state["at"], s["start"])
-        kept = F.substring(text, state["at"] + 1, start - state["at"])
-        removed = (s["kind"] == "term") & (s["value"].try_cast("double") >= REMOVE)
-        shown = F.when(removed | (s["start"] < state["at"]), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], kept, shown).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, begin, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text) - state["at"]))
-    )
+    def of(chars: Column) -> Column:
+        def part(start: Column, size: Column) -> Column:
+            return F.array_join(F.slice(chars, start + 1, size), "")
+
+        def step(state: Column, s: Column) -> Column:
+            start = F.greatest(state["at"], s["start"])
+            removed = (s["kind"] == "term") & (s["value"].try_cast("double") >= REMOVE)
+            shown = F.when(removed | (s["start"] < state["at"]), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], part(state["at"], start - state["at"]), shown).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(spans, begin, step, lambda state: F.concat(state["out"], part(state["at"], F.size(chars) - state["at"])))
+
+    # A place in a text is found by reading it from its start, one in an array at once.
+    return let(F.split(text, ""), of)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ metric is added in place and nothing has to be joined back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -19,7 +19,7 @@ from driftlens.functions.lcs import rouge_lsum as lcs_rouge_sum
 from driftlens.functions.text import joined_stems, mteval_words, rouge_words, shared_ngrams
 from driftlens.operators import pairing
 from driftlens.operators.detectors.projection import cosine
-from driftlens.session import BROADCAST_ROWS, dealt, is_small, materialize
+from driftlens.session import BROADCAST_ROWS, dealt, is_small, materialize, text_batches
 
 KEYS = ("sample_id", "seq_id")
 PRF = "precision double, recall double, fmeasure double"
@@ -36,6 +36,7 @@ def ngram_overlap(
 
     All within the row, so no n-gram is shuffled and a pair of any length stays where it was read.
     """
+    text_batches(pairs.sparkSession)
     tokens = pairs.select(*keys, tokenizer(F.col(hyp)).alias("_h"), tokenizer(F.col(ref)).alias("_r"))
     counted = tokens.withColumn("_shared", shared_ngrams(F.col("_h"), F.col("_r"), max_n))
     return counted.select(
@@ -112,9 +113,13 @@ def rouge_n(
 ) -> DataFrame:
     """rouge{n}_precision / _recall / _fmeasure for each order."""
     counts = ngram_overlap(pairs, tokenizer, max(orders), hyp, ref, keys)
+    return counts.select(*keys, *_ngram_shares(orders, {n: F.col(f"match_{n}") for n in orders}))
+
+
+def _ngram_shares(orders: Sequence[int], matches: Mapping[int, Column]) -> list[Column]:
     columns = []
     for n in orders:
-        match = F.col(f"match_{n}").cast("double")
+        match = matches[n].cast("double")
 
         def share(size: str) -> Column:
             room = F.col(size) - (n - 1)
@@ -125,25 +130,28 @@ def rouge_n(
         columns += [
             precision.alias(f"rouge{n}_precision"), recall.alias(f"rouge{n}_recall"), f.alias(f"rouge{n}_fmeasure")
         ]
-    return counts.select(*keys, *columns)
+    return columns
 
 
-def _named(df: DataFrame, keys: Sequence[str], struct: Column, name: str) -> DataFrame:
-    return df.select(*keys, struct.alias("_s")).select(
-        *keys, *[F.col(f"_s.{f}").alias(f"{name}_{f}") for f in ("precision", "recall", "fmeasure")]
-    )
+def _parts(score: Column, name: str) -> list[Column]:
+    return [score[f].alias(f"{name}_{f}") for f in ("precision", "recall", "fmeasure")]
+
+
+def _sequence_score(hyp: Column, ref: Column) -> Column:
+    return F.arrow_udf(lcs_rouge, PRF)(hyp, ref)
 
 
-def _sequence_scores(pairs: DataFrame, hyp: str, ref: str, tokenizer: Tokenizer, keys: Sequence[str]) -> DataFrame:
-    score = F.pandas_udf(lcs_rouge, PRF)
-    return _named(pairs, keys, score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
+def _scored(pairs: DataFrame, keys: Sequence[str], score: Column, name: str) -> DataFrame:
+    text_batches(pairs.sparkSession)
+    return pairs.select(*keys, score.alias("_s")).select(*keys, *_parts(F.col("_s"), name))
 
 
 def rouge_l(
     pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """rougeL over whole texts; long ones are costly and are dealt out evenly first."""
-    return _sequence_scores(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), hyp, ref, tokenizer, keys)
+    texts = dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2])
+    return _scored(texts, keys, _sequence_score(tokenizer(F.col(hyp)), tokenizer(F.col(ref))), "rougeL")
 
 
 def sentences(text: Column) -> Column:
@@ -151,29 +159,33 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[\n.]+"), lambda s: F.trim(s) != "")
 
 
-def _union_scores(pairs: DataFrame, hyp: str, ref: str, tokenizer: Tokenizer, keys: Sequence[str]) -> DataFrame:
-    score = F.pandas_udf(lcs_rouge_sum, PRF)
-
-    def tokens(column: str) -> Column:
-        return F.transform(sentences(F.col(column)), tokenizer)
-
-    return _named(pairs, keys, score(tokens(hyp), tokens(ref)), "rougeLsum")
+def _union_score(hyp: Column, ref: Column, tokenizer: Tokenizer) -> Column:
+    return F.arrow_udf(lcs_rouge_sum, PRF)(F.transform(sentences(hyp), tokenizer), F.transform(sentences(ref), tokenizer))
 
 
 def rouge_lsum(
     pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", tokenizer: Tokenizer = rouge_words, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """rougeLsum: union LCS per reference sentence over all hypothesis sentences."""
-    return _union_scores(dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2]), hyp, ref, tokenizer, keys)
+    texts = dealt(pairs.select(*dict.fromkeys([*keys, hyp, ref])), *keys[:2])
+    return _scored(texts, keys, _union_score(F.col(hyp), F.col(ref), tokenizer), "rougeLsum")
 
 
 def corpus_rouge(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row: mean F-measures of all pairs, texts stripped first. One scan; each pair is dealt out once and scored where it lands."""
-    texts = dealt(pairs.select(*keys, F.trim(hyp).alias(hyp), F.trim(ref).alias(ref)), *keys[:2])
-    scored = rouge_n(texts, (1, 2), hyp, ref, keys=[*keys, hyp, ref])
-    for add in (_sequence_scores, _union_scores):
-        scored = add(scored, hyp, ref, rouge_words, scored.columns)
-    return scored.agg(*[F.avg(f"{name}_fmeasure").alias(name) for name in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
+    """One row: mean F-measures of all pairs, texts stripped first. One scan; each pair is dealt out once and gets all its scores from one worker."""
+    text_batches(pairs.sparkSession)
+    texts = dealt(pairs.select(*keys, F.trim(hyp).alias("_hyp"), F.trim(ref).alias("_ref")), *keys[:2])
+    tokens = texts.select("_hyp", "_ref", rouge_words(F.col("_hyp")).alias("_h"), rouge_words(F.col("_ref")).alias("_r"))
+    scored = tokens.select(
+        F.size("_h").alias("hyp_len"),
+        F.size("_r").alias("ref_len"),
+        shared_ngrams(F.col("_h"), F.col("_r"), 2).alias("_shared"),
+        _sequence_score(F.col("_h"), F.col("_r")).alias("_l"),
+        _union_score(F.col("_hyp"), F.col("_ref"), rouge_words).alias("_lsum"),
+    )
+    shares = _ngram_shares((1, 2), {n: F.col("_shared")[n - 1] for n in (1, 2)})
+    scores = scored.select(*shares, *_parts(F.col("_l"), "rougeL"), *_parts(F.col("_lsum"), "rougeLsum"))
+    return scores.agg(*[F.avg(f"{name}_fmeasure").alias(name) for name in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
 
 
 def stemmed(
@@ -190,6 +202,7 @@ def stemmed(
     Tokens the table does not hold stay as they are; several stems of a token follow each other in order. A small table is sent to all
     tasks and no row moves. With a larger one, texts meet in blocks, of which only the different tokens are joined to the table.
     """
+    text_batches(pairs.sparkSession)
     own = F.coalesce("stem", "token")
     stems = stem_map.where("token IS NOT NULL").groupBy("token").agg(F.array_join(F.array_sort(F.collect_list(own)), " ").alias("stem"))
     stems = materialize(stems.where(F.col("token") != F.col("stem")))

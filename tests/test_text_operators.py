@@ -192,6 +192,22 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_corpus_rouge_is_the_mean_from_one_worker(spark):
+    """The means of the metrics on stripped texts, from a single Python step with bounded batches: each further step is a worker of its own."""
+    rng = random.Random(8)
+    rows = [(i, i % 2, *("".join(rng.choice(["the ", "cat ", "sat. ", "Mat\n", " on "]) for _ in range(rng.randrange(40))) for _ in range(2))) for i in range(80)]
+    df = spark.createDataFrame([*rows, (99, 0, "", "a b. c")], "sample_id long, seq_id int, hyp string, ref string").repartition(3)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = metrics.corpus_rouge(df)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    plan = plan_of(got)
+    assert len(re.findall(r"ArrowEvalPython \[", plan.split("Initial Plan")[0])) == 1 and "BatchEval" not in plan
+    stripped = df.withColumns({c: F.trim(c) for c in ("hyp", "ref")})
+    for name, scores in (("rouge1", metrics.rouge_n(stripped)), ("rouge2", metrics.rouge_n(stripped)), ("rougeL", metrics.rouge_l(stripped)), ("rougeLsum", metrics.rouge_lsum(stripped))):
+        values = [r[0] for r in scores.select(f"{name}_fmeasure").collect()]
+        assert len(values) == 81 and abs(got.first()[name] - sum(values) / 81) < 1e-12
+
+
 def test_stems_come_from_a_table(spark):
     df = spark.createDataFrame([(0, 0, "Cats sat", "cat sits")], "sample_id long, seq_id int, hyp string, ref string")
     stems = spark.createDataFrame([("cats", "cat"), ("sits", "sit"), ("sat", "sit")], "token string, stem string")
