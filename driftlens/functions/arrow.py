@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,9 +42,36 @@ def segment_starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
 
 
+def runs(sizes: np.ndarray, values: int = 1 << 16) -> Iterator[tuple[slice, slice]]:
+    """(rows, their values) of consecutive segments, of about so many values each."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        first = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, first + values, side="right")))
+        yield slice(start, stop), slice(first, ends[stop - 1])
+        start = stop
+
+
+def mean_and_deviation(lists: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Mean and population deviation of every list, summed in its order; NULL for empty lists and such as hold a NULL."""
+    sizes, flat = lengths(lists), lists.flatten()
+    values, known = numbers(flat), pc.is_valid(flat).to_numpy(zero_copy_only=False)
+    mean, deviation, whole = np.zeros(len(sizes)), np.zeros(len(sizes)), sizes > 0
+    for rows, at in runs(sizes):
+        count, x = sizes[rows], values[at]
+        row = np.repeat(np.arange(len(count)), count)
+        room = np.maximum(count, 1)
+        mean[rows] = np.bincount(row, x, len(count)) / room
+        apart = x - mean[rows][row]
+        deviation[rows] = np.sqrt(np.bincount(row, apart * apart, len(count)) / room)
+        if not known[at].all():
+            whole[rows] &= np.bincount(row, ~known[at], len(count)) == 0
+    return pa.array(mean, mask=~whole), pa.array(deviation, mask=~whole)
+
+
 def segment_mean(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Mean over consecutive segments along the last axis; NaN for empty ones."""
-    out = np.full((*values.shape[:-1], len(sizes)), np.nan)
+    out = np.full((*values.shape[:-1], len(sizes)), np.nan, np.result_type(values, float))
     full = sizes > 0
     if full.any():
         sums = np.add.reduceat(values, segment_starts(sizes)[full], axis=-1)

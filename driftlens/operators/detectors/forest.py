@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftlens.functions.arrow import lengths, lists_of, matrix, numbers, segment_mean
+from driftlens.functions.arrow import lengths, lists_of, matrix, numbers, runs, segment_mean
 from driftlens.functions.hashing import hash_key
 from driftlens.operators.detectors.base import Scorer, key_columns
 from driftlens.session import materialize
@@ -32,20 +32,30 @@ def curve_coefficients(curves: pa.Array) -> pa.Array:
     """Per curve: (cos, sin) coefficients of the curve and of its slope for each frequency."""
     sizes = lengths(curves)
     values = numbers(curves.flatten())
-    ends = np.cumsum(sizes)
-    place = np.arange(len(values)) - np.repeat(ends - sizes, sizes)
-    time = (place + 0.5) / np.repeat(sizes, sizes)
+    columns = np.zeros((len(sizes), 4 * FREQUENCIES))
+    for rows, at in runs(sizes):
+        columns[rows] = _coefficients(values[at], sizes[rows])
+    return lists_of(np.nan_to_num(columns))
+
+
+def _coefficients(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    counts = np.repeat(sizes, sizes)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     slope = np.zeros_like(values)
     if len(values) > 1:
         inside = place[1:] > 0
-        slope[1:][inside] = np.diff(values)[inside] * np.repeat(sizes, sizes)[1:][inside]
+        slope[1:][inside] = np.diff(values)[inside] * counts[1:][inside]
     columns = np.zeros((len(sizes), 4 * FREQUENCIES))
+    # A wave of frequency f is the f-th power of the first: one cosine and one sine per value.
+    angle = 2 * np.pi * ((place + 0.5) / counts)
+    base = np.cos(angle) + 1j * np.sin(angle)
+    wave = np.ones_like(base)
     for f in range(FREQUENCIES):
-        angle = 2 * np.pi * f * time
-        for at, wave in enumerate((np.cos(angle), np.sin(angle))):
-            columns[:, 2 * f + at] = segment_mean(values * wave, sizes)
-            columns[:, 2 * FREQUENCIES + 2 * f + at] = segment_mean(slope * wave, sizes)
-    return lists_of(np.nan_to_num(columns))
+        for at, curve in ((2 * f, values), (2 * FREQUENCIES + 2 * f, slope)):
+            told = segment_mean(curve * wave, sizes)
+            columns[:, at], columns[:, at + 1] = told.real, told.imag
+        wave *= base
+    return columns
 
 
 def _seed(*parts) -> int:

@@ -728,11 +728,13 @@ def flow_generation(spark, sf_dir):
 def flow_aggregate_keys(spark, sf_dir):
     """Three token scorers in one table, told apart by their keys, and one that is not asked for."""
     rows = V.token_scores(spark, sf_dir)
+    # Keys and factors only are copied per scorer; scores are made for the rows that are asked for.
     scaled = F.explode(F.array(*[
-        F.struct(F.lit(f"{name}(mode={mode})").alias("detector"), F.transform("token_scores", lambda x: x * factor).alias("_scores"))
+        F.struct(F.lit(f"{name}(mode={mode})").alias("detector"), F.lit(factor).alias("factor"))
         for name, mode, factor in (("one", "token", 1.0), ("two", "token", -2.0), ("three", "token", 0.5), ("four", "output", 1.0))
     ]))
-    long = rows.select("*", scaled.alias("_d")).select(*[c for c in rows.columns if c != "token_scores"], "_d.detector", F.col("_d._scores").alias("token_scores"))
+    scores = F.transform("token_scores", lambda x: x * F.col("_d.factor"))
+    long = rows.select("*", scaled.alias("_d")).select(*[c for c in rows.columns if c != "token_scores"], "_d.detector", scores.alias("token_scores"))
     result = evaluation.aggregate_token_records(long.where("lang = 'en'"), long)
     return rounded(result, "token_scores_mean", "token_scores_std", "fif_token_scores")
 

@@ -171,10 +171,11 @@ def hypotheses(spark, sf_dir) -> DataFrame:
 
 def token_scores(spark, sf_dir) -> DataFrame:
     """One number per token, two sequences per document."""
-    docs = texts(spark, sf_dir).withColumnRenamed("row_id", "doc_id")
+    sizes = F.transform(F.split("text", r"\s+"), F.length)
+    docs = texts(spark, sf_dir).select(F.col("row_id").alias("sample_id"), "lang", sizes.alias("_sizes"))
     return docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("seq_id")).select(
-        F.col("doc_id").alias("sample_id"), "seq_id", "lang",
-        F.transform(F.split("text", r"\s+"), lambda w: (F.length(w) + F.col("seq_id")).cast("double") / 10).alias("token_scores"),
+        "sample_id", "seq_id", "lang",
+        F.transform("_sizes", lambda n: (n + F.col("seq_id")).cast("double") / 10).alias("token_scores"),
     )
 
 

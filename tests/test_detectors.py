@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,47 @@ def test_token_records_per_detector(spark):
     for r in records.collect():
         key = (r["sample_id"], r["seq_id"], r["detector"].replace("mode=token", "mode=output"))
         assert abs(r["token_scores_mean"] - means[key]) < 1e-12
+
+
+def test_curve_coefficients_by_runs():
+    """The plain formula, over several runs of values; memory is that of a run, not of several copies of the batch."""
+    import tracemalloc
+
+    from driftlens.operators.detectors.forest import FREQUENCIES, curve_coefficients
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 70_000, 5, 0, *rng.integers(1, 900, 2_500), 0]
+    curves = [rng.normal(size=n) for n in sizes]
+    array = pa.array(curves, pa.list_(pa.float64()))
+    tracemalloc.start()
+    got = curve_coefficients(array)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * sum(sizes)
+    got = got.to_pylist()
+    for x, told in list(zip(curves, got))[:40] + list(zip(curves, got))[-5:]:
+        n = len(x)
+        angle = 2 * np.pi * np.outer(np.arange(FREQUENCIES), (np.arange(n) + 0.5) / max(n, 1))
+        slope = np.concatenate([[0.0], np.diff(x) * n])[:n]
+        want = [w @ y / n if n else 0.0 for y in (x, slope) for a in angle for w in (np.cos(a), np.sin(a))]
+        assert np.allclose(told, want, rtol=1e-9, atol=1e-9)
+
+
+def test_token_stats_are_the_expressions_numbers(spark):
+    """Bit for bit, in one Python step with the forest's, and no score is made for a key that is not asked for."""
+    from driftlens.functions.vectors import mean, std_population
+    from driftlens.operators.aggregates import token_stats
+    from driftlens.plans.score_queries import flow_aggregate_keys
+
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(0, 90, n) / 10).tolist()) for i, n in enumerate([0, 1, 2, 66_000, *rng.integers(1, 700, 120)])]
+    rows += [(200, None), (201, [1.0, None, 2.0]), (202, [1.0, float("nan")])]
+    df = spark.createDataFrame(rows, "sample_id long, token_scores array<double>")
+    got = token_stats(df).collect()
+    want = df.select("sample_id", mean(F.col("token_scores")), std_population(F.col("token_scores"))).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    plan = flow_aggregate_keys(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython [") == 1
+    lines = plan.optimizedPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(lines) if "factor" in x and "transform" in x)
+    assert any("Contains(" in x or "mode=token" in x and "Filter" in x for x in lines[made:])
