@@ -154,6 +154,12 @@ def test_sanitise_keeps_columns_nulls_and_repeats(spark):
     assert out == sorted([(1, "a [EMAIL]", 9, "s"), (1, "a [EMAIL]", 9, "s"), (None, "b [PHONE]", 9, None), (2, None, None, "t"), (3, "", 0, "t")], key=str)
 
 
+def test_sanitise_counts_code_points(spark):
+    texts = ["😀é x@y.zz 日本 +1 (555) 555-0100😀", "x@y.zz", "é" * 3_000 + " a@b.cc " + "😀" * 3_000]
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows_of(spark, texts)).collect()}
+    assert clean == {0: "😀é [EMAIL] 日本 [PHONE]😀", 1: "[EMAIL]", 2: "é" * 3_000 + " [EMAIL] " + "😀" * 3_000}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.spans_of(docs).count() == 0 and pii.sanitise(docs).count() == 0
